@@ -15,6 +15,9 @@ import ast
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from gaugework.functions.formula_text import Shape, literal_int
 
 # Error codes.
@@ -65,7 +68,7 @@ def text(value: str) -> str:
 
 def case(*branches: tuple[str, str], otherwise: str | None = None) -> str:
     body = " ".join(f"WHEN {test} THEN {value}" for test, value in branches)
-    return f"(CASE {body}{f' ELSE {otherwise}' if otherwise else ''} END)"
+    return f"CASE {body}{f' ELSE {otherwise}' if otherwise else ''} END"
 
 
 def first_error(*errors: str | None) -> str | None:
@@ -80,19 +83,25 @@ def outcome(shape: str) -> str:
     return f"named_struct('result', double({term.number}), 'error', {error})"
 
 
-def outcome_by_shape(shapes: Sequence[Shape]) -> str:
+# Choices of one CASE. Spark moves the branches of a CASE to methods of their own
+# only if it has several, so a binary choice would end up in one huge method.
+BRANCHES = 8
+
+
+def outcome_by_shape(shapes: Sequence[Shape]) -> Column:
     """The outcome of whichever shape the column ``shape_id`` names.
 
-    The choice is a binary tree, so a row passes about log2(n) comparisons and
-    then only its own formula.
+    The choice is a tree of CASE expressions, so a row passes some comparisons
+    per level and then only its own formula, however many shapes there are.
     """
     if len(shapes) == 1:
-        return outcome(shapes[0].text)
-    middle = len(shapes) // 2
-    lower, upper = shapes[:middle], shapes[middle:]
-    return case(
-        (f"shape_id < {upper[0].id}", outcome_by_shape(lower)), otherwise=outcome_by_shape(upper)
-    )
+        return F.expr(outcome(shapes[0].text))
+    size = BRANCHES ** max(level for level in range(12) if BRANCHES**level < len(shapes))
+    groups = [shapes[at : at + size] for at in range(0, len(shapes), size)]
+    chosen = F
+    for group in groups:
+        chosen = chosen.when(F.expr(f"shape_id <= {group[-1].id}"), outcome_by_shape(group))
+    return chosen
 
 
 def operand_count(shapes: Sequence[Shape]) -> int:
@@ -112,6 +121,23 @@ def _failure(message: str) -> Term:
     return Term("double(NULL)", text(message))
 
 
+# An operand longer than this is computed once and named where it is needed twice.
+LONG = 160
+
+
+def _named(build: Callable[..., str], *values: str) -> str:
+    """``build(*values)``, whose text may repeat its arguments.
+
+    Nested repetitions would multiply, so long arguments are bound to the
+    variable of a lambda.
+    """
+    if sum(map(len, values)) <= LONG:
+        return build(*values)
+    fields = ", ".join(f"'{at}', {value}" for at, value in enumerate(values))
+    body = build(*(f"v.`{at}`" for at in range(len(values))))
+    return f"get(transform(array(named_struct({fields})), v -> {body}), 0)"
+
+
 def _infinite(value: str) -> str:
     return f"abs({value}) = {INFINITY}"
 
@@ -149,6 +175,8 @@ class _Build:
     def on_Constant(self, node: ast.Constant) -> Term:
         if isinstance(node.value, bool):
             return Term(str(node.value).lower(), truth=True)
+        if isinstance(node.value, int):  # kept in the shape by pow() and round()
+            return Term(f"double('{node.value}')")
         return _failure(RESULT_NULL if node.value is None else RESULT_TYPE)
 
     def on_Name(self, node: ast.Name) -> Term:
@@ -259,30 +287,39 @@ class _Build:
 
 
 def _compare(op: ast.cmpop, left: Term, right: Term) -> str:
-    plain = f"({left.number} {COMPARE[type(op)]} {right.number})"
-    # Spark holds NaN equal to itself and above all numbers.
-    for side in (left, right):
-        if side.nan and isinstance(op, ast.NotEq):
-            plain = f"(isnan({side.number}) OR {plain})"
-        elif side.nan:
-            plain = f"(NOT isnan({side.number}) AND {plain})"
-    return plain
+    def holds(a: str, b: str) -> str:
+        plain = f"({a} {COMPARE[type(op)]} {b})"
+        # Spark holds NaN equal to itself and above all numbers.
+        for value, side in ((a, left), (b, right)):
+            if side.nan and isinstance(op, ast.NotEq):
+                plain = f"(isnan({value}) OR {plain})"
+            elif side.nan:
+                plain = f"(NOT isnan({value}) AND {plain})"
+        return plain
+
+    if not (left.nan or right.nan):
+        return holds(left.number, right.number)
+    return _named(holds, left.number, right.number)
 
 
 def _floored_mod(a: str, b: str) -> Term:
-    rest = f"try_mod({a}, {b})"
-    shift = case((f"signum({rest}) * signum({b}) < 0D", b), otherwise="0D")
-    return Term(f"({rest} + {shift})", case((f"{b} = 0D", text(ZERO_DIVISOR))))
+    def floored(a: str, b: str) -> str:
+        rest = f"try_mod({a}, {b})"
+        shift = case((f"signum({rest}) * signum({b}) < 0D", b), otherwise="0D")
+        return f"({rest} + {shift})"
+
+    return Term(_named(floored, a, b), case((f"{b} = 0D", text(ZERO_DIVISOR))))
 
 
 def _power(a: str, b: str) -> Term:
-    value = f"power({a}, {b})"
-    error = case(
-        (f"{a} = 0D AND {b} < 0D", text(ZERO_DIVISOR)),
-        (f"{a} < 0D AND rint({b}) <> {b}", text(RESULT_TYPE)),
-        (f"{_infinite(value)} AND {_finite(a)} AND {_finite(b)}", text(OVERFLOW)),
-    )
-    return Term(value, error)
+    def failed(a: str, b: str) -> str:
+        return case(
+            (f"{a} = 0D AND {b} < 0D", text(ZERO_DIVISOR)),
+            (f"{a} < 0D AND rint({b}) <> {b}", text(RESULT_TYPE)),
+            (f"{_infinite(f'power({a}, {b})')} AND {_finite(a)} AND {_finite(b)}", text(OVERFLOW)),
+        )
+
+    return Term(f"power({a}, {b})", _named(failed, a, b))
 
 
 def _choice(test: Term, body: Term, other: Term) -> str:
@@ -299,8 +336,8 @@ def _whole(x: str, value: str) -> Term:
 def _to_long(x: str, rounding: str) -> str:
     # floor and ceil return a bigint, which saturates; from 2**53 on a double
     # is whole anyway.
-    return case(
-        (f"abs({x}) < {2.0**53!r}D", f"double({rounding}({x}))"), otherwise=x
+    return _named(
+        lambda x: case((f"abs({x}) < {2.0**53!r}D", f"double({rounding}({x}))"), otherwise=x), x
     )
 
 

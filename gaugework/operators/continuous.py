@@ -26,19 +26,14 @@ OUTCOME = "struct<result:double,error:string>"
 def outcomes(
     rows: DataFrame,
     formulas: FormulaSet,
-    before: Column,
+    before: list[Column],
     operand: Callable[[int], Column],
     keep: list[str],
 ) -> DataFrame:
     """``keep`` columns with result and error, evaluating each row's own shape.
 
-    ``before`` is the error that stands in the way of evaluation, or NULL. Rows
-    carry ``shape_id`` and ``constants``.
-
-    ``before`` should contain a higher-order function. Spark then leaves this
-    projection out of the whole-stage function and splits its CASE into methods
-    small enough for the JVM to compile; in one function of more than 8000 bytes
-    it would be interpreted, several times slower.
+    ``before`` lists the errors that stand in the way of evaluation; the first
+    that is not NULL counts. Rows carry ``shape_id`` and ``constants``.
     """
     shapes = formulas.shapes
     operands = {f"x{i}": operand(i) for i in range(operand_count(shapes))}
@@ -46,16 +41,22 @@ def outcomes(
     passes = [
         shapes[at : at + SHAPES_PER_PASS] for at in range(0, len(shapes), SHAPES_PER_PASS)
     ]
+    # The filter is a higher-order function, which Spark leaves out of whole-stage
+    # code. Only there does it split the CASE into methods small enough for the
+    # JVM to compile; in one of more than 8000 bytes it would be interpreted.
+    present = F.filter(F.array(*before), lambda error: error.isNotNull())
+    stopped = F.struct(
+        F.lit(None).cast("double").alias("result"), F.get(present, F.lit(0)).alias("error")
+    )
     parts = []
     for chunk in passes or [()]:
         part = rows
         if len(passes) > 1:
             inside = F.col("shape_id").between(chunk[0].id, chunk[-1].id)
             part = rows.filter(inside | F.col("shape_id").isNull() if chunk is passes[0] else inside)
-        stopped = F.struct(F.lit(None).cast("double").alias("result"), before.alias("error"))
-        made = F.when(before.isNotNull(), stopped)
+        made = F.when(F.coalesce(*before).isNotNull(), stopped)
         if chunk:
-            made = made.otherwise(F.expr(outcome_by_shape(chunk)))
+            made = made.otherwise(outcome_by_shape(chunk))
         parts.append(part.select(*keep, made.cast(OUTCOME).alias("_outcome")))
     whole = parts[0]
     for part in parts[1:]:
@@ -114,10 +115,11 @@ def evaluate(
     reading's own value stands for its own node.
     """
     formulas = as_formula_set(formulas).of("continuous")
+    readings = formulas.mentioned(readings)
     if latest is None:
         latest = latest_values(readings)
     number = number_column(readings)
-    keyed = readings.filter(F.col("node_id").isNotNull()).select(
+    keyed = readings.select(
         F.col("id").alias("tag_id"),
         "node_id",
         F.col("timestamp").alias("result_on"),
@@ -126,11 +128,11 @@ def evaluate(
     )
     matched = formulas.attach(keyed, formulas.edges(), "node_id")
     rows = formulas.attach(matched, formula_operands(formulas, latest), "variable_id")
-    before = F.coalesce(
-        unresolved(F.filter("missing", lambda node: node != F.col("node_id"))),
+    before = [
+        unresolved(F.array_remove("missing", F.col("node_id"))),
         F.col("_input_error"),
         F.col("compile_error"),
-    )
+    ]
     return outcomes(
         rows,
         formulas,
@@ -160,11 +162,11 @@ def evaluate_scenarios(scenarios: DataFrame, formulas: FormulaSet | DataFrame) -
         F.filter("mentions", lambda node: F.try_element_at("tags", node).isNull()).alias("missing"),
         F.get(F.map_values("tags"), F.lit(0)).alias("value"),
     )
-    before = F.coalesce(
+    before = [
         unresolved(F.col("missing")),
         input_error(rows, F.col("value")),
         F.col("compile_error"),
-    )
+    ]
     return outcomes(
         rows,
         formulas,

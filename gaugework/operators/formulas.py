@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +15,11 @@ from gaugework.sources.variables import active_formulas
 
 # Up to this many formulas and this much text the formula tables are read on the
 # driver and broadcast; beyond, they are read by tasks and joined by shuffles.
-BROADCAST_FORMULAS = 20_000
-BROADCAST_BYTES = 32 * 1024 * 1024
+BROADCAST_FORMULAS = 10_000
+BROADCAST_CHARACTERS = 32 * 1024 * 1024
+
+# Up to this many nodes are named in a filter on the readings.
+FILTERED_NODES = 200
 
 # Rows of a hot key are spread over this many tasks by the shuffle join.
 SALTS = 32
@@ -60,18 +63,29 @@ class FormulaSet:
     bounded: bool
     longest: int  # minutes of the longest window
     widest: int  # nodes of the widest aligned aggregate
+    nodes: tuple[str, ...] | None = None  # every node mentioned, when few
 
     def of(self, *kinds: str) -> FormulaSet:
         """The formulas of these kinds."""
         shapes = tuple(shape for shape in self.shapes if shape.kinds.intersection(kinds))
         table = self.table.filter(F.col("kind").isin(*kinds))
         present = self.kinds.intersection(kinds)
-        return FormulaSet(table, shapes, present, self.bounded, self.longest, self.widest)
+        return replace(self, table=table, shapes=shapes, kinds=present)
 
     def edges(self) -> DataFrame:
         """(variable_id, idx, node_id), one row per formula and distinct node."""
         return self.table.select("variable_id", F.posexplode("nodes").alias("idx", "node_id"))
 
+    def mentioned(self, readings: DataFrame) -> DataFrame:
+        """Readings of nodes that may occur in a formula.
+
+        The joins with the formulas would drop the others too; a filter by name
+        reaches the scan and can skip files, row groups and partitions.
+        """
+        if self.nodes is None:
+            return readings.filter(F.col("node_id").isNotNull())
+        return readings.filter(F.col("node_id").isin(*self.nodes))
+
     def hint(self, small: DataFrame) -> DataFrame:
         """``small`` marked for broadcast when it is as small as the formulas."""
         return F.broadcast(small) if self.bounded else small
@@ -93,9 +107,9 @@ class FormulaSet:
         )
 
 
-def _record(row: dict) -> dict:
-    formula = read_formula(row["formula"])
-    if row["minutes"] <= 0:
+def _record(variable_id: int, minutes: int, deadline: int | None, text: str) -> dict:
+    formula = read_formula(text)
+    if minutes <= 0:
         kind = "continuous"
     elif not formula.nodes:
         kind = "idle"
@@ -104,9 +118,9 @@ def _record(row: dict) -> dict:
     else:
         kind = "last"
     return {
-        "variable_id": row["variable_id"],
-        "minutes": row["minutes"],
-        "time_interval": row["time_interval"],
+        "variable_id": variable_id,
+        "minutes": minutes,
+        "time_interval": deadline,
         "kind": kind,
         "nodes": list(formula.nodes),
         "mentions": list(formula.mentions),
@@ -119,13 +133,14 @@ def _record(row: dict) -> dict:
 
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_pylist([_record(row) for row in batch.to_pylist()], PARSED)
+        rows = zip(*(column.to_pylist() for column in batch.columns))
+        yield pa.RecordBatch.from_pylist([_record(*row) for row in rows], PARSED)
 
 
 def read_formulas(
     variables: DataFrame,
     max_formulas: int = BROADCAST_FORMULAS,
-    max_bytes: int = BROADCAST_BYTES,
+    max_characters: int = BROADCAST_CHARACTERS,
 ) -> FormulaSet:
     """Prepare the active formulas of ``variables``.
 
@@ -135,15 +150,15 @@ def read_formulas(
     """
     spark = variables.sparkSession
     active = active_formulas(variables).select(
-        "variable_id",
-        F.col("minutes").cast("int").alias("minutes"),
-        F.col("time_interval").cast("timestamp").alias("time_interval"),
+        F.col("variable_id").cast("long"),
+        F.col("minutes").cast("int"),
+        F.unix_micros(F.col("time_interval").cast("timestamp")).alias("deadline"),
         "formula",
     )
-    rows = active.limit(max_formulas + 1).toArrow()
-    if rows.num_rows > max_formulas or rows.nbytes > max_bytes:
+    rows = active.limit(max_formulas + 1).collect()
+    if len(rows) > max_formulas or sum(len(row.formula) for row in rows) > max_characters:
         return _read_in_tasks(spark, active)
-    records = [_record(row) for row in rows.to_pylist()]
+    records = [_record(*row) for row in rows]
     kinds_of: dict[str, set[str]] = {}
     for record in records:
         if record["shape"] is not None:
@@ -153,6 +168,7 @@ def read_formulas(
     for record in records:
         record["shape_id"] = ids.get(record["shape"])
     many = [len(record["nodes"]) for record in records if record["kind"] == "many"]
+    nodes = sorted({node for record in records for node in record["nodes"]})
     return FormulaSet(
         table=spark.createDataFrame(
             pa.Table.from_pylist(records, PARSED.append(pa.field("shape_id", pa.int32())))
@@ -162,6 +178,7 @@ def read_formulas(
         bounded=True,
         longest=max((record["minutes"] for record in records), default=0),
         widest=max(many, default=0),
+        nodes=tuple(nodes) if len(nodes) <= FILTERED_NODES else None,
     )
 
 

@@ -147,8 +147,8 @@ def _windows(table: DataFrame) -> DataFrame:
     return table.select("*", blocks).select(*table.columns, ends)
 
 
-def _numbers(readings: DataFrame, schedule: DataFrame, longest: int) -> DataFrame:
-    """Usable readings within the time covered by the schedule.
+def _numbers(readings: DataFrame, formulas: FormulaSet, schedule: DataFrame) -> DataFrame:
+    """Usable readings of the formulas' nodes in the time the schedule covers.
 
     The bounds are read from the schedule, which is small, and become literals
     of the clock's own type, so that the scan can skip files and row groups.
@@ -160,10 +160,10 @@ def _numbers(readings: DataFrame, schedule: DataFrame, longest: int) -> DataFram
         kind = readings.schema["created_on"].dataType
         start, end = (
             F.timestamp_micros(F.lit(bound)).cast(kind)
-            for bound in (low - longest * 60_000_000, high)
+            for bound in (low - formulas.longest * 60_000_000, high)
         )
         readings = readings.filter(F.col("created_on").between(start, end))
-    return readings.select(
+    return formulas.mentioned(readings).select(
         "id",
         "node_id",
         _micros(F.col("created_on").cast("timestamp")).alias("_at"),
@@ -221,7 +221,7 @@ def window_readings(
     formulas = as_formula_set(formulas)
     rows = _in_windows(
         formulas,
-        _numbers(readings, schedule, formulas.longest),
+        _numbers(readings, formulas, schedule),
         _nodes(_scheduled(formulas, schedule)),
     )
     return rows.select(
@@ -273,7 +273,7 @@ def aligned_readings(
     """
     formulas = as_formula_set(formulas).of("many")
     table = _scheduled(formulas, schedule)
-    numbers = _numbers(readings, schedule, formulas.longest)
+    numbers = _numbers(readings, formulas, schedule)
     rows = _aligned(numbers, formulas, table, rows_per_task)
     sizes = table.select("variable_id", F.size("nodes").alias("_nodes"))
     whole = formulas.attach(rows, sizes, "variable_id").filter("_present = _nodes")
@@ -285,12 +285,6 @@ def aligned_readings(
     )
 
 
-def _before_row(ready: Column) -> Column:
-    """Error before evaluating a row of operands; see ``outcomes`` for the form."""
-    blocked = F.filter(F.array("compile_error"), lambda message: message.isNotNull())
-    return F.when(~ready, F.lit(NO_ROWS)).otherwise(F.get(blocked, F.lit(0)))
-
-
 def _aggregate_one_node(
     numbers: DataFrame, formulas: FormulaSet, schedule: DataFrame
 ) -> DataFrame:
@@ -310,7 +304,7 @@ def _aggregate_one_node(
     return outcomes(
         rows,
         formulas,
-        _before_row(F.lit(True)),
+        [F.col("compile_error")],
         lambda i: F.col("value") if i == 0 else F.lit(None).cast("double"),
         ["variable_id", "window_end"],
     )
@@ -332,7 +326,7 @@ def _aggregate_aligned(
     return outcomes(
         rows,
         formulas,
-        _before_row(F.col("_present") == F.col("_nodes")),
+        [F.when(F.col("_present") < F.col("_nodes"), NO_ROWS), F.col("compile_error")],
         lambda i: F.col(f"_x{i}"),
         ["variable_id", "window_end"],
     )
@@ -366,7 +360,7 @@ def _last_in_window(
     return outcomes(
         rows,
         formulas,
-        F.coalesce(unresolved(missing), unusable, F.col("compile_error")),
+        [unresolved(missing), unusable, F.col("compile_error")],
         lambda i: F.try_element_at("_ops", F.lit(i)),
         ["variable_id", "window_end"],
     )
@@ -386,7 +380,7 @@ def evaluate_windows(
     the last value of each node. Windows without data keep an error row.
     """
     formulas = as_formula_set(formulas).of("one", "many", "last")
-    numbers = _numbers(readings, schedule, formulas.longest)
+    numbers = _numbers(readings, formulas, schedule)
     parts = []
     if "one" in formulas.kinds:
         parts.append(_totals(_aggregate_one_node(numbers, formulas, schedule)))
