@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugework.functions.formula_text import Shape, read_formula
 from gaugework.session import stored
@@ -98,7 +99,8 @@ class FormulaSet:
         """
         if self.bounded:
             return large.join(F.broadcast(small), list(keys))
-        salt = F.pmod(F.xxhash64(*large.columns), F.lit(SALTS)).cast("int")
+        hashed = [field.name for field in large.schema if not isinstance(field.dataType, T.MapType)]
+        salt = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")
         copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
         return (
             large.withColumn("_salt", salt)

@@ -25,7 +25,9 @@ def latest_state(readings: DataFrame) -> DataFrame:
     This is the form to carry between batches: a bad value must hide the older
     good one.
     """
-    typed = readings.select("node_id", "id", number_column(readings).alias("value"))
+    typed = readings.filter(F.col("node_id").isNotNull()).select(
+        "node_id", "id", number_column(readings).alias("value")
+    )
     return typed.groupBy("node_id").agg(
         F.max("id").alias("id"), F.max_by("value", "id").alias("value")
     )

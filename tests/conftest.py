@@ -24,7 +24,7 @@ def readings_of(spark):
 
     def make(rows, kind="string"):
         data = [
-            (i, node, None if value is None else (str(value) if kind == "string" else value), at, "Good", at)
+            (i, node, None if value is None else (str(value) if kind == "string" else float(value)), at, "Good", at)
             for i, node, value, at in ((*row[:3], datetime.fromisoformat(row[3])) for row in rows)
         ]
         return spark.createDataFrame(
