@@ -192,13 +192,25 @@ def executed(spark: SparkSession, folder: str) -> DataFrame:
     formulas = gw.read_formulas(table)
     rows = readings(spark, folder)
     windows = gw.evaluate_windows(rows, formulas, gw.replay_schedule(formulas, END))
-    made = gw.all_executions(gw.evaluate(rows, formulas), windows, END)
+    return gw.all_executions(gw.evaluate(rows, formulas), windows, END)
+
+
+def saved(spark: SparkSession, outcomes: DataFrame) -> str:
+    """Outcomes written to result tables, as a service does; reports read those."""
+    out = fresh_dir(spark, "results")
+    results.write_outcomes(outcomes, out, 0)
+    results.write_batch(spark, out, 0, last_processed_id=0, readings=0, as_of=None)
+    return out
+
+
+def saved_executions(spark: SparkSession, folder: str) -> DataFrame:
+    table = results.executions(spark, saved(spark, executed(spark, folder)))
     # As if each had been saved at the time it speaks of.
-    return made.withColumn("created_on", F.coalesce("window_end", "result_on"))
+    return table.withColumn("created_on", F.coalesce("window_end", "result_on"))
 
 
 def all_executions(spark: SparkSession, folder: str) -> DataFrame:
-    made = executed(spark, folder).drop("created_on")
+    made = executed(spark, folder)
     return rounded(stamped(made, "result_on", "processed_on", "window_end"))
 
 
@@ -207,19 +219,19 @@ def _report(table: DataFrame) -> DataFrame:
 
 
 def executions_latest(spark: SparkSession, folder: str) -> DataFrame:
-    saved, _ = gw.split_outcomes(executed(spark, folder))
-    return _report(gw.executions_latest(saved, fixtures.table(spark, fixtures.VARIABLES)))
+    made = saved_executions(spark, folder)
+    return _report(gw.executions_latest(made, fixtures.table(spark, fixtures.VARIABLES)))
 
 
 def executions_by_alias(spark: SparkSession, folder: str) -> DataFrame:
-    saved, _ = gw.split_outcomes(executed(spark, folder))
+    made = saved_executions(spark, folder)
     variables = fixtures.table(spark, fixtures.VARIABLES)
-    return _report(gw.executions_latest(saved, variables, limit=50, alias="W"))
+    return _report(gw.executions_latest(made, variables, limit=50, alias="W"))
 
 
 def executions_summary(spark: SparkSession, folder: str) -> DataFrame:
-    saved, _ = gw.split_outcomes(executed(spark, folder))
-    made = gw.executions_summary(fixtures.table(spark, fixtures.VARIABLES), saved)
+    made = saved_executions(spark, folder)
+    made = gw.executions_summary(fixtures.table(spark, fixtures.VARIABLES), made)
     return rounded(stamped(made, "last_processed_on"), "max_result")
 
 
@@ -227,9 +239,14 @@ def batch_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Counters per batch of 200 readings."""
     rows = readings(spark, folder)
     made = gw.evaluate(rows, fixtures.table(spark, fixtures.CONTINUOUS))
-    made = made.withColumn("batch_id", F.expr("tag_id div 200"))
-    saved, failed = gw.split_outcomes(made)
-    return gw.batch_stats(saved, failed, rows.withColumn("batch_id", F.expr("id div 200")))
+    windows = made.limit(0).select("variable_id", "result", "error", F.col("result_on").alias("window_end"))
+    out = saved(spark, gw.all_executions(made, windows, END))
+    batch = F.expr("tag_id div 200")
+    return gw.batch_stats(
+        results.executions(spark, out).withColumn("batch_id", batch),
+        results.failures(spark, out).withColumn("batch_id", batch),
+        rows.withColumn("batch_id", F.expr("id div 200")),
+    )
 
 
 # Streams
@@ -258,14 +275,14 @@ def drained(spark: SparkSession, folder: str, variables: list[fixtures.Variable]
 
 
 def _streamed(spark: SparkSession, out: str) -> DataFrame:
-    saved = results.executions(spark, out).select(
+    done = results.executions(spark, out).select(
         "tag_id", "variable_id", "result", F.lit(None).cast("string").alias("error")
     )
     dead = results.failures(spark, out).select(
         "tag_id", "variable_id", F.lit(None).cast("double").alias("result"),
         F.col("error_message").alias("error"),
     )
-    return saved.unionByName(dead)
+    return done.unionByName(dead)
 
 
 def stream_continuous(spark: SparkSession, folder: str) -> DataFrame:
@@ -286,7 +303,7 @@ def stream_windowed(spark: SparkSession, folder: str) -> DataFrame:
         windows="replay",
         read_history=lambda: readings(spark, folder),
     )
-    saved = results.executions(spark, out).select(
+    done = results.executions(spark, out).select(
         "variable_id", "window_end", "result", F.lit(None).cast("string").alias("error")
     )
     dead = results.failures(spark, out)
@@ -295,7 +312,7 @@ def stream_windowed(spark: SparkSession, folder: str) -> DataFrame:
         "variable_id", F.lit(None).cast("timestamp").alias("window_end"),
         F.lit(None).cast("double").alias("result"), F.col("error_message").alias("error"),
     )
-    return rounded(stamped(saved.unionByName(dead), "window_end"))
+    return rounded(stamped(done.unionByName(dead), "window_end"))
 
 
 def stream_formula_refresh(spark: SparkSession, folder: str) -> DataFrame:

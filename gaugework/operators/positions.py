@@ -12,19 +12,26 @@ ROWS_PER_TASK = 2_000_000
 
 
 def with_positions(
-    rows: DataFrame, keys: list[str], order: list[str], rows_per_task: int = ROWS_PER_TASK
+    rows: DataFrame,
+    keys: list[str],
+    order: list[str],
+    within: DataFrame | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """``rows`` with ``position``, counted from 0 in ``order`` within ``keys``.
 
-    The largest group is measured first, by a partial aggregation that reads the
-    key columns only. While it is small, a plain ``row_number`` does. Otherwise
-    groups are cut into ranges, so that no task gets a whole hot group.
+    While no group is large, a plain ``row_number`` does. Otherwise groups are
+    cut into ranges, so that no task gets a whole hot group. ``within`` is a
+    table that has at least as many rows as any group and is cheaper to count;
+    if that count does not settle it, the largest group is measured, by a
+    partial aggregation that reads the key columns only.
     """
-    largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if (largest or 0) <= rows_per_task:
-        ordered = Window.partitionBy(*keys).orderBy(*order)
-        return rows.withColumn("position", F.row_number().over(ordered).cast("long") - 1)
-    return positions_by_range(rows, keys, order)
+    if within is None or within.count() > rows_per_task:
+        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 0) > rows_per_task:
+            return positions_by_range(rows, keys, order)
+    ordered = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("position", F.row_number().over(ordered).cast("long") - 1)
 
 
 def positions_by_range(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -248,7 +248,7 @@ def _aligned(
         "node_id", "_length", "_grid", "window_end", "_at", "id", "value"
     )
     placed = with_positions(
-        rows, ["node_id", "_length", "window_end"], ["_at", "id"], rows_per_task
+        rows, ["node_id", "_length", "window_end"], ["_at", "id"], numbers, rows_per_task
     )
     operands = [
         F.max(F.when(F.col("idx") == i, F.col("value"))).alias(f"x{i}")

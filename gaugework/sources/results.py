@@ -8,6 +8,8 @@ folders, so a replay leaves no duplicates.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,27 @@ def write_outcomes(outcomes: DataFrame, out_path: str, batch_id: int) -> None:
     ).parquet(f"{out_path}/outcomes/batch_id={batch_id}")
 
 
+def write_batch(
+    spark: SparkSession,
+    out_path: str,
+    batch_id: int,
+    *,
+    last_processed_id: int,
+    readings: int,
+    as_of: int | None,
+    updated_at: datetime | None = None,
+    service_name: str = "gaugework",
+) -> None:
+    """The line of the log that commits a batch; ``as_of`` is in microseconds."""
+    spark.range(1).select(
+        F.lit(service_name).alias("service_name"),
+        F.lit(last_processed_id).cast("long").alias("last_processed_id"),
+        (F.current_timestamp() if updated_at is None else F.lit(updated_at)).alias("updated_at"),
+        F.timestamp_micros(F.lit(as_of).cast("long")).alias("as_of"),
+        F.lit(readings).cast("long").alias("readings"),
+    ).coalesce(1).write.mode("overwrite").parquet(f"{out_path}/batches/batch_id={batch_id}")
+
+
 def batches(spark: SparkSession, out_path: str) -> DataFrame:
     """One row per committed batch: counts, high-water mark and clock."""
     return read_if_present(spark, f"{out_path}/batches", schemas.STATE + ", batch_id bigint")

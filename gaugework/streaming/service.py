@@ -32,7 +32,12 @@ from gaugework.operators.windows import (
 )
 from gaugework.plans.reports import all_executions
 from gaugework.sources.readings import start_offset
-from gaugework.sources.results import batches, read_if_present, write_outcomes
+from gaugework.sources.results import (
+    batches,
+    read_if_present,
+    write_batch,
+    write_outcomes,
+)
 
 SLOTS = 3
 
@@ -99,13 +104,16 @@ class _Service:
         write_outcomes(outcomes, self.out_path, batch_id)
 
         high = max(value for value in (seen.last_id, before[0], 0) if value is not None)
-        self.spark.range(1).select(
-            F.lit(self.service_name).alias("service_name"),
-            F.lit(high).cast("long").alias("last_processed_id"),
-            F.lit(now).alias("updated_at"),
-            F.timestamp_micros(F.lit(as_of).cast("long")).alias("as_of"),
-            F.lit(seen.readings).cast("long").alias("readings"),
-        ).write.mode("overwrite").parquet(f"{self.out_path}/batches/batch_id={batch_id}")
+        write_batch(
+            self.spark,
+            self.out_path,
+            batch_id,
+            last_processed_id=high,
+            readings=seen.readings,
+            as_of=as_of,
+            updated_at=now,
+            service_name=self.service_name,
+        )
 
     def _before(self, batch_id: int) -> tuple[int | None, int | None]:
         """High-water mark and clock (in microseconds) of the batch before."""
