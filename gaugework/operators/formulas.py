@@ -62,7 +62,6 @@ class FormulaSet:
     shapes: tuple[Shape, ...]
     kinds: frozenset[str]
     bounded: bool
-    longest: int  # minutes of the longest window
     widest: int  # nodes of the widest aligned aggregate
     nodes: tuple[str, ...] | None = None  # every node mentioned, when few
 
@@ -178,7 +177,6 @@ def read_formulas(
         shapes=shapes,
         kinds=frozenset(record["kind"] for record in records),
         bounded=True,
-        longest=max((record["minutes"] for record in records), default=0),
         widest=max(many, default=0),
         nodes=tuple(nodes) if len(nodes) <= FILTERED_NODES else None,
     )
@@ -196,7 +194,6 @@ def _read_in_tasks(spark: SparkSession, active: DataFrame) -> FormulaSet:
     shapes = _numbered({row.shape: set(row.kinds) for row in found.toLocalIterator()})
     totals = parsed.agg(
         F.collect_set("kind").alias("kinds"),
-        F.coalesce(F.max("minutes"), F.lit(0)).alias("longest"),
         F.coalesce(F.max(F.when(F.col("kind") == "many", F.size("nodes"))), F.lit(0)).alias("widest"),
     ).first()
     ids = spark.createDataFrame(
@@ -212,7 +209,6 @@ def _read_in_tasks(spark: SparkSession, active: DataFrame) -> FormulaSet:
         shapes=shapes,
         kinds=frozenset(totals.kinds),
         bounded=False,
-        longest=totals.longest,
         widest=totals.widest,
     )
 

@@ -23,6 +23,7 @@ NO_ROWS = "NO_COMPUTABLE_ROWS_IN_WINDOW"
 
 # Windows of one formula made from one row of the schedule at a time.
 WINDOWS_PER_ROW = 10_000
+WINDOWS_PER_TASK = 1_000_000
 
 
 def _micros(column: Column | str) -> Column:
@@ -127,41 +128,56 @@ def _scheduled(formulas: FormulaSet, schedule: DataFrame) -> DataFrame:
 
 def window_schedule(schedule: DataFrame) -> DataFrame:
     """The windows of a schedule: (variable_id, window_start, window_end)."""
-    return _windows(_spans(schedule)).select(
+    spans = _spans(schedule)
+    return _windows(spans, _extent(spans)[2]).select(
         "variable_id",
         F.timestamp_micros(F.col("window_end") - F.col("_length")).alias("window_start"),
         F.timestamp_micros("window_end").alias("window_end"),
     )
 
 
-def _windows(table: DataFrame) -> DataFrame:
+def _extent(spans: DataFrame) -> tuple[int | None, int | None, int]:
+    """Start and end of the time that a schedule covers, and its windows.
+
+    The schedule has one row per formula, so this is cheap to ask ahead.
+    """
+    count = F.expr("(_last - _first) div _length + 1")
+    low, high, windows = spans.agg(
+        F.min(F.col("_first") - F.col("_length")), F.max("_last"), F.sum(count)
+    ).first()
+    return low, high, windows or 0
+
+
+def _windows(table: DataFrame, count: int) -> DataFrame:
     """One row per window of the schedule joined to its formulas.
 
-    Long schedules are unfolded in two steps, so that no array of windows grows
-    with the length of the history.
+    Schedules are unfolded in two steps, so that no array of windows grows with
+    the length of the history, and many windows are made by many tasks.
     """
     block = F.col("_length") * WINDOWS_PER_ROW
     blocks = F.explode(F.sequence("_first", "_last", block)).alias("_from")
     until = F.least(F.col("_last"), F.col("_from") + block - F.col("_length"))
     ends = F.explode(F.sequence("_from", until, "_length")).alias("window_end")
-    return table.select("*", blocks).select(*table.columns, ends)
+    unfolded = table.select("*", blocks)
+    if count > WINDOWS_PER_TASK:
+        tasks = -(-count // WINDOWS_PER_TASK)
+        unfolded = unfolded.repartition(tasks, "variable_id", "_from")
+    return unfolded.select(*table.columns, ends)
 
 
-def _numbers(readings: DataFrame, formulas: FormulaSet, schedule: DataFrame) -> DataFrame:
-    """Usable readings of the formulas' nodes in the time the schedule covers.
+def _numbers(
+    readings: DataFrame, formulas: FormulaSet, low: int | None, high: int | None
+) -> DataFrame:
+    """Usable readings of the formulas' nodes between two times.
 
-    The bounds are read from the schedule, which is small, and become literals
-    of the clock's own type, so that the scan can skip files and row groups.
+    The bounds become literals of the clock's own type, so that the scan can
+    skip files and row groups.
     """
-    low, high = schedule.agg(F.min(_micros("first_end")), F.max(_micros("last_end"))).first()
     if low is None:
         readings = readings.limit(0)
     else:
         kind = readings.schema["created_on"].dataType
-        start, end = (
-            F.timestamp_micros(F.lit(bound)).cast(kind)
-            for bound in (low - formulas.longest * 60_000_000, high)
-        )
+        start, end = (F.timestamp_micros(F.lit(bound)).cast(kind) for bound in (low, high))
         readings = readings.filter(F.col("created_on").between(start, end))
     return formulas.mentioned(readings).select(
         "id",
@@ -219,9 +235,10 @@ def window_readings(
     Returns (variable_id, node_id, window_start, window_end, id, value).
     """
     formulas = as_formula_set(formulas)
+    low, high, _ = _extent(_spans(schedule))
     rows = _in_windows(
         formulas,
-        _numbers(readings, formulas, schedule),
+        _numbers(readings, formulas, low, high),
         _nodes(_scheduled(formulas, schedule)),
     )
     return rows.select(
@@ -273,7 +290,8 @@ def aligned_readings(
     """
     formulas = as_formula_set(formulas).of("many")
     table = _scheduled(formulas, schedule)
-    numbers = _numbers(readings, formulas, schedule)
+    low, high, _ = _extent(_spans(schedule))
+    numbers = _numbers(readings, formulas, low, high)
     rows = _aligned(numbers, formulas, table, rows_per_task)
     sizes = table.select("variable_id", F.size("nodes").alias("_nodes"))
     whole = formulas.attach(rows, sizes, "variable_id").filter("_present = _nodes")
@@ -380,7 +398,8 @@ def evaluate_windows(
     the last value of each node. Windows without data keep an error row.
     """
     formulas = as_formula_set(formulas).of("one", "many", "last")
-    numbers = _numbers(readings, formulas, schedule)
+    low, high, count = _extent(_spans(schedule))
+    numbers = _numbers(readings, formulas, low, high)
     parts = []
     if "one" in formulas.kinds:
         parts.append(_totals(_aggregate_one_node(numbers, formulas, schedule)))
@@ -391,7 +410,8 @@ def evaluate_windows(
     windows = _windows(
         _scheduled(formulas, schedule).select(
             "variable_id", "aggregate", "nodes", "_first", "_last", "_length"
-        )
+        ),
+        count,
     )
     if not parts:
         return _as_windows(windows, F.lit(None).cast("double"), F.lit(None).cast("string"))

@@ -127,6 +127,7 @@ def test_schedules_longer_than_one_array(spark, variables_of, monkeypatch):
     schedule = gw.replay_schedule(variables, DAY + "02:00")
     whole = gw.window_schedule(schedule).collect()
     monkeypatch.setattr(windows, "WINDOWS_PER_ROW", 3)
+    monkeypatch.setattr(windows, "WINDOWS_PER_TASK", 40)
     assert sorted(gw.window_schedule(schedule).collect()) == sorted(whole)
     assert len(whole) == 121 + 17
 
