@@ -1,7 +1,7 @@
 """Formula shapes as Spark SQL expressions.
 
 Each part of a formula becomes a :class:`Term`: a value and an error, both as
-expression text over the columns ``x0, x1, …`` (operands) and ``constants``. An
+expression text over operands and the column ``constants``. An
 error is data, never an exception, so one bad row cannot fail a job. Where the
 error is set the value is meaningless; the caller masks it.
 
@@ -76,9 +76,15 @@ def first_error(*errors: str | None) -> str | None:
     return f"coalesce({', '.join(present)})" if len(present) > 1 else (present or [None])[0]
 
 
-def outcome(shape: str) -> str:
-    """``struct<result double, error string>`` of one shape, result unchecked."""
-    term = _Build().term(ast.parse(shape, mode="eval").body)
+Operand = Callable[[int], str]
+
+
+def outcome(shape: str, operand: Operand) -> str:
+    """``struct<result double, error string>`` of one shape, result unchecked.
+
+    ``operand`` gives the expression of the i-th operand, which should be short.
+    """
+    term = _Build(operand).term(ast.parse(shape, mode="eval").body)
     error = term.error or "string(NULL)"
     return f"named_struct('result', double({term.number}), 'error', {error})"
 
@@ -88,19 +94,19 @@ def outcome(shape: str) -> str:
 BRANCHES = 8
 
 
-def outcome_by_shape(shapes: Sequence[Shape]) -> Column:
+def outcome_by_shape(shapes: Sequence[Shape], operand: Operand) -> Column:
     """The outcome of whichever shape the column ``shape_id`` names.
 
     The choice is a tree of CASE expressions, so a row passes some comparisons
     per level and then only its own formula, however many shapes there are.
     """
     if len(shapes) == 1:
-        return F.expr(outcome(shapes[0].text))
+        return F.expr(outcome(shapes[0].text, operand))
     size = BRANCHES ** max(level for level in range(12) if BRANCHES**level < len(shapes))
     groups = [shapes[at : at + size] for at in range(0, len(shapes), size)]
     chosen = F
     for group in groups:
-        chosen = chosen.when(F.expr(f"shape_id <= {group[-1].id}"), outcome_by_shape(group))
+        chosen = chosen.when(F.expr(f"shape_id <= {group[-1].id}"), outcome_by_shape(group, operand))
     return chosen
 
 
@@ -149,7 +155,8 @@ def _finite(value: str) -> str:
 class _Build:
     """Builds the terms of one formula, part by part in evaluation order."""
 
-    def __init__(self) -> None:
+    def __init__(self, operand: Operand) -> None:
+        self.operand = operand
         # Operands already checked on every way to the part being built.
         self.checked: set[int] = set()
 
@@ -186,7 +193,7 @@ class _Build:
         index = node.slice.value
         if node.value.id == "k":
             return Term(f"get(constants, {index})")
-        value = f"x{index}"
+        value = self.operand(index)
         if index in self.checked:
             return Term(value)
         self.checked.add(index)

@@ -20,6 +20,10 @@ from gaugework.sources.readings import input_error, number_column
 # Shapes evaluated by one projection; more are evaluated in several passes.
 SHAPES_PER_PASS = 512
 
+# The first operands of a formula are columns of their own. Further ones, which
+# only wide formulas have, are looked up where they are used.
+NAMED_OPERANDS = 16
+
 OUTCOME = "struct<result:double,error:string>"
 
 
@@ -27,17 +31,18 @@ def outcomes(
     rows: DataFrame,
     formulas: FormulaSet,
     before: list[Column],
-    operand: Callable[[int], Column],
+    operand: Callable[[int], str],
     keep: list[str],
 ) -> DataFrame:
     """``keep`` columns with result and error, evaluating each row's own shape.
 
     ``before`` lists the errors that stand in the way of evaluation; the first
-    that is not NULL counts. Rows carry ``shape_id`` and ``constants``.
+    that is not NULL counts. Rows carry ``shape_id`` and ``constants``;
+    ``operand`` gives the expression of the i-th operand.
     """
     shapes = formulas.shapes
-    operands = {f"x{i}": operand(i) for i in range(operand_count(shapes))}
-    rows = rows.select(*rows.columns, *(made.alias(name) for name, made in operands.items()))
+    named = min(operand_count(shapes), NAMED_OPERANDS)
+    rows = rows.selectExpr("*", *(f"{operand(i)} AS x{i}" for i in range(named)))
     passes = [
         shapes[at : at + SHAPES_PER_PASS] for at in range(0, len(shapes), SHAPES_PER_PASS)
     ]
@@ -56,7 +61,9 @@ def outcomes(
             part = rows.filter(inside | F.col("shape_id").isNull() if chunk is passes[0] else inside)
         made = F.when(F.coalesce(*before).isNotNull(), stopped)
         if chunk:
-            made = made.otherwise(outcome_by_shape(chunk))
+            made = made.otherwise(
+                outcome_by_shape(chunk, lambda i: f"x{i}" if i < named else operand(i))
+            )
         parts.append(part.select(*keep, made.cast(OUTCOME).alias("_outcome")))
     whole = parts[0]
     for part in parts[1:]:
@@ -137,7 +144,7 @@ def evaluate(
         rows,
         formulas,
         before,
-        lambda i: F.when(F.col("idx") == i, F.col("_value")).otherwise(F.get("ops", F.lit(i))),
+        lambda i: f"CASE WHEN idx = {i} THEN _value ELSE get(ops, {i}) END",
         ["tag_id", "variable_id", "result_on"],
     ).select("tag_id", "variable_id", "result", "error", "result_on")
 
@@ -171,6 +178,6 @@ def evaluate_scenarios(scenarios: DataFrame, formulas: FormulaSet | DataFrame) -
         rows,
         formulas,
         before,
-        lambda i: F.get("ops", F.lit(i)),
+        lambda i: f"get(ops, {i})",
         ["scenario_id", "variable_id"],
     )

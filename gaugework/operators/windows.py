@@ -323,7 +323,7 @@ def _aggregate_one_node(
         rows,
         formulas,
         [F.col("compile_error")],
-        lambda i: F.col("value") if i == 0 else F.lit(None).cast("double"),
+        lambda i: "value",
         ["variable_id", "window_end"],
     )
 
@@ -345,7 +345,7 @@ def _aggregate_aligned(
         rows,
         formulas,
         [F.when(F.col("_present") < F.col("_nodes"), NO_ROWS), F.col("compile_error")],
-        lambda i: F.col(f"_x{i}"),
+        lambda i: f"_x{i}",
         ["variable_id", "window_end"],
     )
 
@@ -379,7 +379,7 @@ def _last_in_window(
         rows,
         formulas,
         [unresolved(missing), unusable, F.col("compile_error")],
-        lambda i: F.try_element_at("_ops", F.lit(i)),
+        lambda i: f"try_element_at(_ops, {i})",
         ["variable_id", "window_end"],
     )
 

@@ -57,6 +57,17 @@ def test_order_of_checks(readings_of, variables_of):
     assert made[3, 4] == 1.0
 
 
+def test_wide_formulas(readings_of, variables_of):
+    count = 40
+    rows = readings_of([(at, f"n{at}", at, T) for at in range(count)])
+    mean = "AVG(" + ", ".join(f"[n{at}]" for at in range(count)) + ")"
+    last = f"[n0] + [n{count - 1}]"
+    made = found(gw.evaluate(rows, variables_of((1, mean), (2, last), (3, mean + " * [gone]"))))
+    assert {made[at, 1] for at in range(count)} == {(count - 1) / 2}
+    assert made[0, 2] == made[count - 1, 2] == count - 1
+    assert made[5, 3] == "UNRESOLVED_NODE: gone"
+
+
 def test_large_formula_tables_are_read_in_tasks(spark, readings_of, variables_of):
     nodes = ["hot"] * 60 + ["a", "b", "c"] * 10
     rows = readings_of([(at, node, at % 7, T) for at, node in enumerate(nodes)], "double")
