@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import gaugework as gw
 from checks import fixtures
 from checks.testdata import as_readings, customer_variables, events, readings, user_readings
+from gaugework.plans.reports import with_text_times
 from gaugework.session import fresh_dir
 from gaugework.sources import results
 from gaugework.sources.readings import number_column
@@ -21,15 +22,6 @@ END = "2024-01-31 00:00:00"
 MIDDLE = "2024-01-15 12:00:00"
 
 
-def stamp(name: str) -> F.Column:
-    """A time as text of fixed width, for reports."""
-    return F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(name)
-
-
-def stamped(table: DataFrame, *names: str) -> DataFrame:
-    return table.withColumns({name: stamp(name) for name in names})
-
-
 def rounded(table: DataFrame, name: str = "result", digits: int = 8) -> DataFrame:
     return table.withColumn(name, F.round(name, digits))
 
@@ -39,7 +31,7 @@ def rounded(table: DataFrame, name: str = "result", digits: int = 8) -> DataFram
 
 def incremental_scan(spark: SparkSession, folder: str) -> DataFrame:
     rows = gw.new_readings(readings(spark, folder), after_id=400, limit=200)
-    return stamped(rows.drop("created_on"), "timestamp")
+    return with_text_times(rows.drop("created_on"), "timestamp")
 
 
 def start_offset(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,7 +52,7 @@ def latest_values(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def raw_data_latest(spark: SparkSession, folder: str) -> DataFrame:
-    return stamped(gw.raw_data_latest(readings(spark, folder), limit=20), "timestamp")
+    return with_text_times(gw.raw_data_latest(readings(spark, folder), limit=20), "timestamp")
 
 
 def raw_data_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,7 +63,7 @@ def raw_data_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def active_formulas(spark: SparkSession, folder: str) -> DataFrame:
-    return stamped(gw.active_formulas(customer_variables(spark, folder)), "time_interval")
+    return with_text_times(gw.active_formulas(customer_variables(spark, folder)), "time_interval")
 
 
 def formula_nodes(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,7 +99,7 @@ def failed_executions(spark: SparkSession, folder: str) -> DataFrame:
         gw.evaluate(readings(spark, folder), fixtures.table(spark, fixtures.CONTINUOUS))
     )
     dead = results.as_failures(failed.withColumn("processed_on", F.lit(END).cast("timestamp")))
-    return stamped(dead, "failed_at")
+    return with_text_times(dead, "failed_at")
 
 
 def scalar_validate(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,25 +142,25 @@ def windows_of(*names: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         formulas, schedule = replayed(spark, *names)
         made = gw.evaluate_windows(readings(spark, folder), formulas, schedule)
-        return rounded(stamped(made, "window_start", "window_end"))
+        return rounded(with_text_times(made, "window_start", "window_end"))
 
     return query
 
 
 def window_schedule(spark: SparkSession, folder: str) -> DataFrame:
     schedule = gw.replay_schedule(customer_variables(spark, folder), END)
-    return stamped(gw.window_schedule(schedule), "window_start", "window_end")
+    return with_text_times(gw.window_schedule(schedule), "window_start", "window_end")
 
 
 def due_windows(spark: SparkSession, folder: str) -> DataFrame:
     due = gw.due_windows(customer_variables(spark, folder), "2024-01-01 00:20:00")
-    return stamped(due, "window_start", "window_end", "next_deadline")
+    return with_text_times(due, "window_start", "window_end", "next_deadline")
 
 
 def window_readings(spark: SparkSession, folder: str) -> DataFrame:
     formulas, schedule = replayed(spark, "W2", "W3", "W4")
     rows = gw.window_readings(readings(spark, folder), formulas, schedule)
-    return stamped(rows, "window_start", "window_end")
+    return with_text_times(rows, "window_start", "window_end")
 
 
 def window_boundary(spark: SparkSession, folder: str) -> DataFrame:
@@ -176,12 +168,12 @@ def window_boundary(spark: SparkSession, folder: str) -> DataFrame:
     formulas, schedule = replayed(spark, "W1", "W2")
     hourly = readings(spark, folder).withColumn("created_on", F.date_trunc("hour", "created_on"))
     rows = gw.window_readings(hourly, formulas, schedule)
-    return stamped(rows, "window_start", "window_end")
+    return with_text_times(rows, "window_start", "window_end")
 
 
 def windowed_zip(spark: SparkSession, folder: str) -> DataFrame:
     formulas, schedule = replayed(spark, "W2")
-    return stamped(gw.aligned_readings(readings(spark, folder), formulas, schedule), "window_end")
+    return with_text_times(gw.aligned_readings(readings(spark, folder), formulas, schedule), "window_end")
 
 
 # Results
@@ -211,11 +203,11 @@ def saved_executions(spark: SparkSession, folder: str) -> DataFrame:
 
 def all_executions(spark: SparkSession, folder: str) -> DataFrame:
     made = executed(spark, folder)
-    return rounded(stamped(made, "result_on", "processed_on", "window_end"))
+    return rounded(with_text_times(made, "result_on", "processed_on", "window_end"))
 
 
 def _report(table: DataFrame) -> DataFrame:
-    return rounded(stamped(table, "result_on", "processed_on", "window_end", "created_on"))
+    return rounded(with_text_times(table, "result_on", "processed_on", "window_end", "created_on"))
 
 
 def executions_latest(spark: SparkSession, folder: str) -> DataFrame:
@@ -232,7 +224,7 @@ def executions_by_alias(spark: SparkSession, folder: str) -> DataFrame:
 def executions_summary(spark: SparkSession, folder: str) -> DataFrame:
     made = saved_executions(spark, folder)
     made = gw.executions_summary(fixtures.table(spark, fixtures.VARIABLES), made)
-    return rounded(stamped(made, "last_processed_on"), "max_result")
+    return rounded(with_text_times(made, "last_processed_on"), "max_result")
 
 
 def batch_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -312,7 +304,7 @@ def stream_windowed(spark: SparkSession, folder: str) -> DataFrame:
         "variable_id", F.lit(None).cast("timestamp").alias("window_end"),
         F.lit(None).cast("double").alias("result"), F.col("error_message").alias("error"),
     )
-    return rounded(stamped(done.unionByName(dead), "window_end"))
+    return rounded(with_text_times(done.unionByName(dead), "window_end"))
 
 
 def stream_formula_refresh(spark: SparkSession, folder: str) -> DataFrame:

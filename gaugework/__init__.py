@@ -20,8 +20,10 @@ from gaugework.plans.reports import (
     raw_data_latest,
     raw_data_stats,
     split_outcomes,
+    with_text_times,
 )
 from gaugework.sources.readings import new_readings, start_offset
+from gaugework.sources.results import executions, failures, service_stats
 from gaugework.sources.variables import (
     active_formulas,
     formula_counts,
@@ -40,8 +42,10 @@ __all__ = [
     "evaluate",
     "evaluate_scenarios",
     "evaluate_windows",
+    "executions",
     "executions_latest",
     "executions_summary",
+    "failures",
     "formula_counts",
     "formula_list",
     "formula_nodes",
@@ -51,10 +55,12 @@ __all__ = [
     "raw_data_stats",
     "read_formulas",
     "replay_schedule",
+    "service_stats",
     "split_outcomes",
     "start_offset",
     "start_stream",
     "tick_schedule",
     "window_readings",
     "window_schedule",
+    "with_text_times",
 ]

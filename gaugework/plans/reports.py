@@ -15,6 +15,13 @@ EXECUTIONS_LIMIT = 100
 BATCH_READINGS = 200
 
 
+def with_text_times(table: DataFrame, *names: str) -> DataFrame:
+    """Times as text of fixed width, for the edge where a report leaves Spark."""
+    return table.withColumns(
+        {name: F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS") for name in names}
+    )
+
+
 def raw_data_latest(readings: DataFrame, limit: int = RAW_LIMIT) -> DataFrame:
     """The newest readings by id, with the last part of the node id as alias."""
     newest = readings.orderBy(F.col("id").desc()).limit(limit)

@@ -105,3 +105,24 @@ def as_failures(outcomes: DataFrame) -> DataFrame:
 def failures(spark: SparkSession, out_path: str) -> DataFrame:
     """Failed evaluations of all committed batches."""
     return as_failures(_committed(spark, out_path).filter("failed"))
+
+
+def service_stats(spark: SparkSession, out_path: str) -> DataFrame:
+    """One row of totals: readings, successful evaluations, batches, and the times.
+
+    Successes are counted from the committed outcomes, of which only the batch
+    folders and no column are read.
+    """
+    log = batches(spark, out_path).agg(
+        F.coalesce(F.sum("readings"), F.lit(0)).alias("total_tags_processed"),
+        F.count(F.lit(1)).alias("batches_processed"),
+        F.min("updated_at").alias("first_batch_at"),
+        F.max("updated_at").alias("last_batch_at"),
+    )
+    done = _committed(spark, out_path).filter(~F.col("failed")).agg(
+        F.count(F.lit(1)).alias("total_formulas_executed")
+    )
+    # Two rows, one of each table, folded into one.
+    return log.unionByName(done, allowMissingColumns=True).agg(
+        *(F.max(name).alias(name) for name in (*log.columns, *done.columns))
+    )

@@ -99,6 +99,10 @@ def test_stream_is_batch_and_survives_restart_and_replay(spark, plant, readings_
     assert sorted(last.collect()) == sorted(latest_state(plant.history()).collect())
     marks = results.batches(spark, plant.out).orderBy("batch_id").collect()
     assert [(row.last_processed_id, row.readings) for row in marks] == [(20, 20), (40, 20), (60, 20)]
+    stats = results.service_stats(spark, plant.out).first()
+    assert (stats.total_tags_processed, stats.batches_processed) == (60, 3)
+    assert stats.total_formulas_executed == sum(not isinstance(value, str) for value in whole.values())
+    assert stats.first_batch_at < stats.last_batch_at
 
 
 def test_uncommitted_batches_are_not_read(spark, plant, readings_of, variables_of):
