@@ -31,4 +31,4 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).columns == ["tag_id", "variable_id", "result", "error"]
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert entry.queries().keys() >= entry.oracle_sql().keys() >= ORACLES.keys()
