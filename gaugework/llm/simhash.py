@@ -152,6 +152,17 @@ def links(fps: DataFrame, radius: int = 4, bucket: int = 1024) -> DataFrame:
     return edges
 
 
+def classes_of(rows: DataFrame, least, radius: int, bucket: int) -> DataFrame:
+    """(fp, least) of stored ``rows`` (fp, ...): the least of ``least`` in the whole component of each fingerprint."""
+    classes = stored(rows.groupBy("fp").agg(F.min(least).alias("least")), "classes")
+    found = components(links(classes.select("fp"), radius, bucket))
+    # Fingerprints that are linked to no other are their own root.
+    rooted = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    return stored(rooted.select("fp", "root").join(named, "root").select("fp", "least"), "named")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, bucket: int = 1024) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of each row.
 
@@ -159,12 +170,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, bucket:
     Rows without words share the fingerprint zero and link like any other.
     """
     rows = stored(fingerprints(docs, shingle), "fingerprints")
-    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    found = components(links(classes.select("fp"), radius, bucket))
-    # Fingerprints that are linked to no other are their own root.
-    rooted = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(rooted.join(named, "root").select("fp", "component_id"), "named")
+    named = classes_of(rows, F.col("doc_id"), radius, bucket)
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return rows.join(named, "fp").select("doc_id", shown, "component_id")
+    return rows.join(named, "fp").select("doc_id", shown, F.col("least").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4, bucket: int = 1024) -> DataFrame:
+    """The row with the smallest doc_id of each component; of rows with the same one, the first.
+
+    Only fingerprints are grouped; of the texts, one join drops those that go.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc"))
+    kept = rows.select("row", "doc", text_of("doc.text").alias("text"))
+    kind = kept.schema["doc"].dataType.simpleString()
+    # Stored with their texts, so that the rows' numbers stay the same.
+    kept = stored(kept.mapInArrow(_fingerprints(shingle), f"row long, doc {kind}, fp long"), "fingerprints")
+    narrow = kept.select("row", "fp", F.col("doc.doc_id").alias("doc_id"))
+    named = classes_of(narrow.withColumn("order", order), F.col("order"), radius, bucket)
+    stay = named.select(F.col("least.row").alias("row")).distinct()
+    return kept.join(stay, "row", "left_semi").select("doc.*")
