@@ -1,4 +1,10 @@
-"""A pipeline over ``documents``: each stage is written as Parquet and read back."""
+"""A pipeline over ``documents``: each stage is written as Parquet and read back.
+
+Toxic documents go; of near-duplicates one document stays; secrets are replaced; sources are
+mixed to their target weights, documents repeated as the mix takes them; the result
+is the packing of all that into sequences of token ids. Every stage works on all
+that the one before kept, and each but the last returns the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +12,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugework.llm import harmonic, simhash
+from gaugework.llm import harmonic, mixing, secrets, simhash, toxicity
 from gaugework.llm.tables import read
 from gaugework.session import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a model learned from the labels does not hold to be toxic."""
+    model = toxicity.learned(docs, read(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs, model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: fingerprints of four-word shingles, four bits."""
+    return simhash.one_of_each(docs)
+
+
+def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark."""
+    return secrets.without_secrets(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2,048 ids."""
+    return harmonic.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("secrets", replace_secrets),
+    ("mix", mix_sources),
+    ("packing", pack_tokens),
+]
 
 #: Learned scores, hashes and tokens have no SQL.
 ORACLE_SQL = None
