@@ -1,0 +1,174 @@
+import re
+
+import numpy as np
+import pytest
+
+from gaugework.llm import mixing, secrets, toxicity, vptree
+
+from tests.llm.conftest import AWKWARD
+
+
+def labelled(spark, documents, n=400):
+    rows, labels = [], []
+    for i in range(n):
+        toxic = i % 4 == 0
+        words = [f"w{(i * 7 + k) % 50}ord" for k in range(40)]
+        if toxic:
+            words[5:5] = ["you", "are", "a", ("grublon", "Gr*blon", "snarfish")[i % 3]]
+        rows.append((i, " ".join(words) + ".", "en", "a"))
+        labels.append((i, 1, int(toxic)))
+    return documents(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_on_held_out_rows(spark, documents):
+    docs, labels = labelled(spark, documents)
+    rows = toxicity.scored_documents(docs, labels).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert 40 < len(held) < 120
+    assert all(r["predicted"] == (r["doc_id"] % 4 == 0) for r in held)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    model = toxicity.learned(docs, labels)
+    kept = toxicity.without_toxic(docs, model)
+    assert kept.columns == docs.columns and {r["doc_id"] % 4 for r in kept.collect()} == {1, 2, 3}
+
+
+def test_toxicity_of_awkward_rows(spark, documents, awkward):
+    labels = spark.createDataFrame([(0, 1, 1), (None, 1, 0), (7, 0, None), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.scored_documents(awkward, labels).count() == len(AWKWARD)
+    assert toxicity.scored_documents(awkward, labels.limit(0)).count() == len(AWKWARD)
+    assert toxicity.scored_documents(documents([]), labels).collect() == []
+
+
+def test_isotonic_rises_and_keeps_the_mean():
+    draw = np.random.default_rng(1)
+    score = draw.random(500).round(2)
+    y = (draw.random(500) < score).astype(float)
+    knots, values = toxicity.isotonic(score, y)
+    fitted = np.interp(score, knots, values)
+    assert (np.diff(values) >= 0).all() and abs(fitted.mean() - y.mean()) < 1e-9
+
+
+def plain_targets(sizes, weights, total, cap):
+    targets, open_ = dict.fromkeys(sizes, 0.0), set(sizes)
+    rest = total
+    while open_:
+        share = rest / sum(weights[s] for s in open_)
+        full = {s for s in open_ if weights[s] * share > cap * sizes[s]}
+        for s in full or open_:
+            targets[s] = cap * sizes[s] if full else weights[s] * share
+        if not full:
+            break
+        rest -= sum(targets[s] for s in full)
+        open_ -= full
+    return targets
+
+
+def test_mix_meets_its_targets(documents):
+    draw = np.random.default_rng(2)
+    rows = [(i, "w " * int(draw.integers(0, 300)), "en", "abcdefgh"[min(7, int(draw.exponential(2)))]) for i in range(1500)]
+    made = mixing.mix_report(documents(rows)).collect()
+    assert made == mixing.mix_report(documents(rows)).collect()
+    source = {i: s for i, _, _, s in rows}
+    sizes = {}
+    for i, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes))}
+    targets = plain_targets(sizes, weights, 1.5 * sum(sizes.values()), 2.0)
+    taken = dict.fromkeys(sizes, 0)
+    for r in made:
+        s = source[r["doc_id"]]
+        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(targets[s])
+        assert r["taken"] <= 2 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0)
+        taken[s] += r["taken"]
+    for s in sizes:
+        assert abs(taken[s] - targets[s]) <= 0.01 * targets[s]
+
+
+def test_mix_of_awkward_rows(documents, awkward):
+    rows = mixing.mix_report(awkward).collect()
+    assert len(rows) == len(AWKWARD)
+    assert all(r["taken"] <= 2 * r["size"] for r in rows)
+    mixed = mixing.mixed_documents(awkward)
+    assert mixed.columns == awkward.columns
+    words = re.compile(r"[^\x20\x09-\x0D]+").findall
+    assert sum(len(words(r["text"] or "")) for r in mixed.collect()) == sum(r["taken"] for r in rows)
+    assert mixing.mix_report(documents([])).collect() == []
+
+
+def plain_nearest(vectors, queries, k):
+    found = set()
+    for q in queries:
+        near = sorted((float(np.sqrt(((np.array(vectors[q]) - np.array(v)) ** 2).sum())), i) for i, v in vectors.items() if i != q)
+        found |= {(q, rank, i, round(d, 9)) for rank, (d, i) in enumerate(near[:k], 1)}
+    return found
+
+
+def test_vantage_points_without_relaxing_are_exact(spark):
+    draw = np.random.default_rng(3)
+    vectors = {i: draw.normal(size=6).round(2).tolist() for i in range(900)}
+    vectors |= {i: vectors[5] for i in range(900, 960)}  # many copies: ties by id
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 50 = 0 OR vec_id = 905")
+    found = vptree.nearest(df, asked, 10, relax=1.0, shard=200, block=7).collect()
+    made = {(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in found}
+    assert made == plain_nearest(vectors, [i for i in vectors if i % 50 == 0 or i == 905], 10)
+
+
+def test_vantage_points_recall(spark):
+    draw = np.random.default_rng(4)
+    vectors = {i: draw.normal(size=32).tolist() for i in range(3000)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    found = {(r["query_id"], r["vec_id"]) for r in vptree.nearest(df, df.where("vec_id % 100 = 0")).collect()}
+    true = {(q, i) for q, _, i, _ in plain_nearest(vectors, range(0, 3000, 100), 10)}
+    assert len(found & true) >= 0.9 * len(true)
+
+
+def test_vectors_that_take_no_part(spark):
+    rows = [(0, [1.0, 2.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]),
+            (6, []), (7, [1.0, 2.0]), (8, [1.0, 2.0, 3.0]), (None, [3.0, 3.0]), (9, [4.0, 6.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(tuple(r) for r in vptree.nearest(df, df).collect())
+    assert found == [(0, 1, 7, 0.0), (0, 2, 9, 5.0), (7, 1, 0, 0.0), (7, 2, 9, 5.0), (9, 1, 0, 5.0), (9, 2, 7, 5.0)]
+    assert vptree.nearest(df.limit(0), df.limit(0)).collect() == []
+
+
+def plain_spans(text):
+    assign = r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    found = [(m.start(), 0, m.end()) for m in re.finditer(assign, text, re.I | re.A) if len(m[1]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(start, end, secrets.KINDS[kind]) for start, kind, end in sorted(found)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["", "token = 'abc' token=abcdef", "SECRET:token:abcdef1234", "api_key=x api-key: apikey : ZZZZZZ",
+     "AKIA" + "A" * 15 + " AKIA" + "B" * 16 + "é token='0123456789abcdef01234567'", "f" * 23 + " " + "0" * 24,
+     "ſecret=abcdefgh toKen=abcdefgh toKen=abcdefgh"],
+)
+def test_patterns(text):
+    assert secrets.base_spans(text) == plain_spans(text)
+
+
+def test_network_finds_what_patterns_miss(spark, documents):
+    draw = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz0123456789")
+    secret = lambda: "".join(draw.choice(letters, 40))
+    vocabulary = ["".join(draw.choice(list("etaoinshrdlu"), draw.integers(2, 9))) for _ in range(400)]
+    some = lambda n=8: " ".join(draw.choice(vocabulary, n))
+    rows = [(i, f"{some()} token = \"{secret()}\" {some()}", "en", "a") for i in range(150)]
+    rows += [(1000 + i, f"{some()} {'_'.join(draw.choice(vocabulary, 5))}_{i} {some()}", "en", "a") for i in range(150)]
+    hidden = [(2000 + i, f"{some()} {secret()} {some()}", "en", "a") for i in range(20)]
+    found = {r["doc_id"]: r for r in secrets.scan_documents(documents([*rows, *hidden])).collect()}
+    assert all(found[i]["n_assign"] == 1 and found[i]["spans"].startswith("assign:") for i in range(150))
+    assert sum("network" in found[2000 + i]["spans"] for i in range(20)) >= 15
+    assert sum("network" in found[1000 + i]["spans"] for i in range(150)) <= 5
+
+
+def test_secrets_of_awkward_rows(documents, awkward):
+    rows = secrets.scan_documents(awkward).collect()
+    assert len(rows) == len(AWKWARD) and all(r["spans"] == "" for r in rows)
+    assert secrets.scan_documents(documents([])).collect() == []
+    clean = secrets.without_secrets(documents([(1, "é token=abcdefgh end", "en", "a"), (2, None, "en", "a")])).collect()
+    assert {(r["doc_id"], r["text"], r["n_chars"]) for r in clean} == {(1, "é [SECRET] end", 14), (2, None, None)}
+    assert secrets.without_secrets(awkward).columns == awkward.columns
