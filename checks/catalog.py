@@ -117,7 +117,8 @@ def scalar_validate(spark: SparkSession, folder: str) -> DataFrame:
 
 def whatif_scenarios(spark: SparkSession, folder: str) -> DataFrame:
     """Each user's highest values as one scenario per formula."""
-    ids = F.array(*(F.lit(variable.id).cast("long") for variable in fixtures.SCENARIOS))
+    asked = [*fixtures.SCENARIOS, fixtures.EMPTY, fixtures.DELETED, fixtures.UNKNOWN]
+    ids = F.array(*(F.lit(variable.id).cast("long") for variable in asked))
     nodes = F.concat(F.lit("ns=2;s=Line1."), "event_type")
     scenarios = (
         events(spark, folder)
@@ -127,7 +128,7 @@ def whatif_scenarios(spark: SparkSession, folder: str) -> DataFrame:
         .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("node_id", "value")))).alias("tags"))
         .select(F.col("user_id").alias("scenario_id"), F.explode(ids).alias("variable_id"), "tags")
     )
-    return gw.evaluate_scenarios(scenarios, fixtures.table(spark, fixtures.SCENARIOS))
+    return gw.evaluate_scenarios(scenarios, fixtures.table(spark, asked[:-1]))
 
 
 # Windows
@@ -336,6 +337,7 @@ QUERIES: dict[str, Query] = {
     "unresolved_nodes": outcomes_of(fixtures.MISSING),
     "failed_executions": failed_executions,
     "invalid_formulas": outcomes_of(fixtures.INVALID),
+    "fault_isolation": rounded_outcomes_of(fixtures.FAULTS),
     "whatif_scenarios": whatif_scenarios,
     **{name: rounded_outcomes_of(rows) for name, rows in fixtures.SCALARS.items()},
     "scalar_validate": scalar_validate,

@@ -341,6 +341,35 @@ INVALID = _scalars(
     ("({view}, 1)", "", "'VALUE_ERROR: Unsupported node: Tuple'"),
     ("{view} in (1, 2)", "", "'VALUE_ERROR: Comparison not allowed: In'"),
     ("~{view}", "", "'VALUE_ERROR: Operator not allowed: Invert'"),
+    ("{view} * x0 + 1", "", "'VALUE_ERROR: Variable ''x0'' not in context'"),
+    ("{view} * x1 + {click}", "", "'VALUE_ERROR: Variable ''x1'' not in context'"),
+    ("{view} * xx1 + x", "", "'VALUE_ERROR: Variable ''xx1'' not in context'"),
+    ("{view} * k", "", "'VALUE_ERROR: Variable ''k'' not in context'"),
+    ("{view} * ops", "", "'VALUE_ERROR: Variable ''ops'' not in context'"),
+)
+
+DEEP = "EXECUTION_ERROR: formula is nested too deeply"
+HUGE = "1" + "0" * 400
+
+# Formulas that must not disturb the others, the first, a healthy one, included.
+FAULTS = _scalars(
+    ("{click} * 2", "click * 2", ""),
+    ("{click}" + " + {view}" * 400, "click + 400 * view", ""),
+    ("-" * 900 + "{click}", "click", ""),
+    ("(" + " + ".join(["{click}", "{view}"] * 1000) + ") / 2000", "(click + view) / 2", ""),
+    ("avg(" + ", ".join(["{click}", "{view}"] * 1000) + ")", "(click + view) / 2", ""),
+    ("{click}" + " * 1.0" * 2000, "click", ""),
+    ("round({click}, 99999999999)", "click", ""),
+    ("round({click}, 2000000000)", "click", ""),
+    ("round({click}, -2000000000)", "0", ""),
+    ("round({click}, 2 - 1 + 0 * 3)", "round_even(click, 1)", ""),
+    (f"pow({HUGE}, 1, 2{HUGE}) + {{click}}", "", "'OVERFLOW'"),
+    ("pow(2, -1, 4) + {click}", "", "'VALUE_ERROR: base is not invertible for the given modulus'"),
+    ("pow(2, 1, 0) + {click}", "", "'VALUE_ERROR: pow() 3rd argument cannot be 0'"),
+    ("{click}" + " / {view}" * 300, "", f"'{DEEP}'"),
+    ("not " * 500 + "{click}", "", f"'{DEEP}'"),
+    ("max(" * 120 + "{click}, 1" + ", 1)" * 120, "", f"'{DEEP}'"),
+    ("(" * 300 + "{click}" + ")" * 300, "", f"'{SYNTAX}'"),
 )
 
 MISSING = [
@@ -357,6 +386,11 @@ MISSING = [
 
 SCENARIOS = [variable for variable in CONTINUOUS if variable.name in ("V1", "V2", "V4", "V5", "V8", "V9")]
 
+# Scenarios of these have no formula to evaluate: empty, deleted, and in no table at all.
+EMPTY = Variable(91, "EMPTY", "  ", failure="'COMPILE_ERROR: Empty formula'")
+DELETED = Variable(92, "DELETED", "{click} + 1", deleted=True, failure="'UNKNOWN_VARIABLE'")
+UNKNOWN = Variable(93, "UNKNOWN", None, failure="'UNKNOWN_VARIABLE'")
+
 # Formulas over one node each, so the outcome does not depend on batches.
 STREAMED = [variable for variable in CONTINUOUS if variable.name in ("V1", "V3", "V6", "V8", "V9")]
 REPLACED = [

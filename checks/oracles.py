@@ -245,6 +245,11 @@ def scenarios() -> str:
             f"SELECT user_id, coalesce(CASE WHEN m <> '' THEN 'UNRESOLVED_NODE: ' || m[3:] END, {each.failure}) AS e, "
             f"{each.value} AS v FROM (SELECT *, {missing} AS m FROM u))"
         )
+    for each in (fixtures.EMPTY, fixtures.DELETED, fixtures.UNKNOWN):
+        parts.append(
+            f"SELECT user_id AS scenario_id, {each.id}::BIGINT AS variable_id, NULL::DOUBLE AS result, "
+            f"{each.failure} AS error FROM u"
+        )
     return f"WITH u AS (SELECT user_id, {highest} FROM events GROUP BY user_id)\n" + "\nUNION ALL\n".join(parts)
 
 
@@ -318,6 +323,7 @@ SELECT count(*) AS single, 0::BIGINT AS pair, count(*) AS total FROM active""",
 SELECT tag_id, variable_id, error AS error_message, {stamp(END)} AS failed_at, 0 AS retry_count,
     false AS is_resolved FROM ({outcomes(fixtures.CONTINUOUS)}) WHERE error IS NOT NULL""",
     "invalid_formulas": continuous(fixtures.INVALID),
+    "fault_isolation": continuous(fixtures.FAULTS, 8),
     "whatif_scenarios": scenarios(),
     **{name: continuous(rows, 8) for name, rows in fixtures.SCALARS.items()},
     "scalar_validate": VALIDATE,

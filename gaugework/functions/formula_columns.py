@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gaugework.functions.formula_text import Shape, literal_int
+from gaugework.functions.formula_text import CHAIN, Shape, literal_int
 
 # Error codes.
 DIVISION = "VALUE_ERROR: Division by zero"
@@ -286,8 +286,10 @@ class _Build:
         if None not in values:
             try:
                 return Term(f"double('{float(pow(*values))!r}')")
-            except ValueError:
-                return _failure("VALUE_ERROR: pow() 3rd argument cannot be 0")
+            except OverflowError:
+                return _failure(OVERFLOW)
+            except ValueError as problem:
+                return _failure(f"VALUE_ERROR: {problem}")
         errors = [self.numeric(argument).error for argument in arguments]
         refused = text("EXECUTION_ERROR: pow() with 3 arguments needs integers")
         return Term("double(NULL)", first_error(*errors, refused))
@@ -373,10 +375,23 @@ ONE_ARGUMENT: dict[str, Callable[[str], Term]] = {
 }
 
 
+# No double has a digit further from the point.
+ALL_DIGITS = 330
+
+
+def _fold(values: list[str], sign: str) -> str:
+    """The values joined from left to right, as one flat expression whatever their number."""
+    return f"aggregate(array({', '.join(values[1:])}), double({values[0]}), (a, v) -> a {sign} v)"
+
+
 def _call(name: str, parts: list[Term], digits: int | None) -> Term:
     count = len(parts)
     values = [part.number for part in parts]
     if digits is not None:
+        if digits > ALL_DIGITS:
+            return Term(values[0])
+        if digits < -ALL_DIGITS:
+            return Term(_named(lambda x: case((_finite(x), f"({x} * 0D)"), otherwise=x), values[0]))
         return Term(f"bround({values[0]}, {digits})")
     if name in ONE_ARGUMENT and count == 1:
         return ONE_ARGUMENT[name](values[0])
@@ -391,8 +406,12 @@ def _call(name: str, parts: list[Term], digits: int | None) -> Term:
         return _power(*values)
     if name in ("min", "max") and count >= 2:
         return Term(f"{'least' if name == 'min' else 'greatest'}({', '.join(values)})")
+    if name in ("_add", "_multiply"):
+        return Term(_fold(values, "+" if name == "_add" else "*"))
     if name in ("avg", "sum"):
         total = f"({' + '.join(values)})" if values else "0D"
+        if count > CHAIN:
+            total = _fold(values, "+")
         return Term(f"({total} / {count}D)" if name == "avg" and count > 1 else total)
     if name == "iif" and count == 3:
         return Term(_choice(*parts))

@@ -9,6 +9,7 @@ formula can contain by itself. Formulas of one shape share one Column expression
 from __future__ import annotations
 
 import ast
+import operator
 import re
 from dataclasses import dataclass
 
@@ -16,13 +17,24 @@ from dataclasses import dataclass
 NODE = re.compile(r"\[([^\]]+)\]")
 WORD_OR_MARK = re.compile(r"\s+|[A-Za-z_]\w*|[(),]|.", re.DOTALL)
 OUTER_CALL = re.compile(r"\s*(sum|avg|average)\s*\(", re.IGNORECASE)
-FUNCTIONS = frozenset(
-    "abs round min max pow sqrt ceil floor log log10 exp sin cos tan avg average sum iif".split()
-)
+FUNCTIONS = {
+    "abs", "round", "min", "max", "pow", "sqrt", "ceil", "floor", "log", "log10",
+    "exp", "sin", "cos", "tan", "avg", "average", "sum", "iif",
+}
 ANY_CASE = {"avg": "avg", "average": "avg", "sum": "sum", "iif": "iif"}
 NULL_FORMULA = "COMPILE_ERROR: Null formula"
 TEXT_RESULT = "COMPILE_ERROR: Formula returns string value — not supported"
 SYNTAX = "COMPILE_ERROR: Syntax error: invalid formula"
+TOO_DEEP = "EXECUTION_ERROR: formula is nested too deeply"
+
+# Sums and products of more operands than this are one call, not a chain of nested
+# operations; what is nested deeper than the limit is refused, as Spark's own
+# parser could not read its expression.
+CHAIN = 20
+DEPTH = 100
+
+
+WHOLE = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul}
 
 
 class FormulaError(ValueError):
@@ -50,8 +62,9 @@ def read_formula(text: str) -> Formula:
     """Split a formula into nodes, constants and shape."""
     mentions = tuple(NODE.findall(text))
     nodes = tuple(dict.fromkeys(mentions))
+    words = re.findall(r"\w+", NODE.sub(" ", text))
     prefix = "x"
-    while prefix + "0" in NODE.sub("", text):
+    while any(word.startswith(prefix) for word in words):  # no word of the text is an operand's name
         prefix += "x"
     names = {node: f"{prefix}{i}" for i, node in enumerate(nodes)}
     body = NODE.sub(lambda match: f" {names[match.group(1)]} ", text).strip()
@@ -60,10 +73,15 @@ def read_formula(text: str) -> Formula:
         tree = _parse(inner)
         if aggregate and isinstance(tree.body, (ast.Tuple, ast.Starred)):
             tree, aggregate = _parse(body), None
+        tree = ast.Expression(_flat(tree.body))
+        if _too_deep(tree):
+            raise FormulaError(TOO_DEEP)
         constants = _lift(tree, {name: i for i, name in enumerate(names.values())})
         return Formula(nodes, mentions, aggregate, ast.unparse(tree), tuple(constants), None)
     except FormulaError as problem:
         return Formula(nodes, mentions, aggregate, None, (), str(problem))
+    except RecursionError:
+        return Formula(nodes, mentions, aggregate, None, (), TOO_DEEP)
 
 
 def _outer_aggregate(body: str) -> tuple[str, str | None]:
@@ -114,6 +132,50 @@ def _refuse(node: ast.AST) -> None:
         raise FormulaError("COMPILE_ERROR: Compile error: Function definitions not allowed")
 
 
+def _flat(body: ast.expr) -> ast.expr:
+    """``body`` with long chains of ``+ -`` or of ``*`` as calls of ``_add`` and ``_multiply``.
+
+    Works without recursion along a chain. The names cannot be a user's: only
+    listed functions may be called. A run of signs becomes one sign or none.
+    """
+
+    def operands(node: ast.expr, kinds: tuple[type, ...]) -> list[ast.expr]:
+        found = []
+        while isinstance(node, ast.BinOp) and isinstance(node.op, kinds):
+            right = node.right
+            found.append(ast.UnaryOp(ast.USub(), right) if isinstance(node.op, ast.Sub) else right)
+            node = node.left
+        return [node, *reversed(found)]
+
+    def unsigned(node: ast.expr) -> ast.expr:
+        minus, signs = False, 0
+        while isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
+            minus ^= isinstance(node.op, ast.USub)
+            signs, node = signs + 1, node.operand
+        return ast.UnaryOp(ast.USub() if minus else ast.UAdd(), node) if signs else node
+
+    class Flat(ast.NodeTransformer):
+        def visit_BinOp(self, node: ast.BinOp) -> ast.AST:
+            for kinds, name in (((ast.Add, ast.Sub), "_add"), ((ast.Mult,), "_multiply")):
+                if isinstance(node.op, kinds) and len(parts := operands(node, kinds)) > CHAIN:
+                    return ast.Call(ast.Name(name, ast.Load()), [self.visit(part) for part in parts], [])
+            return self.generic_visit(node)
+
+        def visit_UnaryOp(self, node: ast.UnaryOp) -> ast.AST:
+            return self.generic_visit(unsigned(node))
+
+    return Flat().visit(body)
+
+
+def _too_deep(tree: ast.AST) -> bool:
+    level, depth = [tree], 0
+    while level:
+        level, depth = [child for node in level for child in ast.iter_child_nodes(node)], depth + 1
+        if depth > DEPTH:
+            return True
+    return False
+
+
 def _slot(array: str, index: int) -> ast.Subscript:
     return ast.Subscript(ast.Name(array, ast.Load()), ast.Constant(index), ast.Load())
 
@@ -151,9 +213,12 @@ def _lift(tree: ast.Expression, operands: dict[str, int]) -> list[float]:
 
 
 def literal_int(node: ast.AST) -> int | None:
-    """The value of an integer literal with an optional sign, else None."""
+    """The value of an integer literal, or of signs and sums, differences or products of such, else None."""
     if isinstance(node, ast.Constant) and type(node.value) is int:
         return node.value
+    if isinstance(node, ast.BinOp) and type(node.op) in WHOLE:
+        left, right = literal_int(node.left), literal_int(node.right)
+        return None if left is None or right is None else WHOLE[type(node.op)](left, right)
     if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
         value = literal_int(node.operand)
         if value is not None:

@@ -149,19 +149,35 @@ def evaluate(
     ).select("tag_id", "variable_id", "result", "error", "result_on")
 
 
+EMPTY_FORMULA = "COMPILE_ERROR: Empty formula"
+UNKNOWN_VARIABLE = "UNKNOWN_VARIABLE"
+
+
 def evaluate_scenarios(scenarios: DataFrame, formulas: FormulaSet | DataFrame) -> DataFrame:
     """Formulas evaluated against supplied values instead of readings.
 
     ``scenarios`` has (scenario_id, variable_id, tags map<string,double>). The
     first entry of ``tags`` is validated like a triggering value. Returns
-    (scenario_id, variable_id, result, error).
+    (scenario_id, variable_id, result, error), one row per scenario: one of an empty
+    formula, or of a variable that is deleted or not in the table, has an error. Only
+    the formula table itself tells empty formulas from unknown ones; a ``FormulaSet`` has neither.
     """
+    variables = None if isinstance(formulas, FormulaSet) else formulas
     formulas = as_formula_set(formulas)
     detail = formulas.table.select(
         "variable_id", "shape_id", "constants", "compile_error", "nodes", "mentions"
     )
-    rows = formulas.attach(
-        scenarios.select("scenario_id", "variable_id", "tags"), detail, "variable_id"
+    if variables is not None:
+        blank = F.col("pre_save_formula").isNull() | (F.rtrim("pre_save_formula") == "")
+        empty = variables.where(~F.col("is_deleted") & blank).select(
+            F.col("variable_id").cast("long"), F.lit(EMPTY_FORMULA).alias("compile_error")
+        )
+        detail = detail.unionByName(empty, allowMissingColumns=True)
+    detail = detail.withColumn("known", F.lit(True))
+    asked = scenarios.select("scenario_id", "variable_id", "tags")
+    rows = formulas.attach(asked, detail, "variable_id", how="left")
+    rows = rows.withColumn(
+        "compile_error", F.when(F.col("known").isNull(), UNKNOWN_VARIABLE).otherwise(F.col("compile_error"))
     )
     rows = rows.select(
         "*",
@@ -170,6 +186,7 @@ def evaluate_scenarios(scenarios: DataFrame, formulas: FormulaSet | DataFrame) -
         F.get(F.map_values("tags"), F.lit(0)).alias("value"),
     )
     before = [
+        F.when(F.col("nodes").isNull(), F.col("compile_error")),
         unresolved(F.col("missing")),
         input_error(rows, F.col("value")),
         F.col("compile_error"),

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugework.functions.formula_text import Shape, read_formula
+from gaugework.functions.formula_columns import outcome
+from gaugework.functions.formula_text import NODE, TOO_DEEP, Formula, Shape, read_formula
 from gaugework.session import stored
 from gaugework.sources.variables import active_formulas
 
@@ -90,26 +92,50 @@ class FormulaSet:
         """``small`` marked for broadcast when it is as small as the formulas."""
         return F.broadcast(small) if self.bounded else small
 
-    def attach(self, large: DataFrame, small: DataFrame, *keys: str) -> DataFrame:
-        """Inner join of many rows with a table derived from the formulas.
+    def attach(self, large: DataFrame, small: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+        """Join of many rows with a table derived from the formulas.
 
         Above the broadcast bound the large side is salted by its own content,
         so that a key holding a big part of all rows is spread over tasks.
         """
         if self.bounded:
-            return large.join(F.broadcast(small), list(keys))
+            return large.join(F.broadcast(small), list(keys), how)
         hashed = [field.name for field in large.schema if not isinstance(field.dataType, T.MapType)]
         salt = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")
         copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
         return (
             large.withColumn("_salt", salt)
-            .join(small.withColumn("_salt", copies), [*keys, "_salt"])
+            .join(small.withColumn("_salt", copies), [*keys, "_salt"], how)
             .drop("_salt")
         )
 
 
+@lru_cache(maxsize=10_000)
+def _problem(shape: str) -> str | None:
+    """Why no expression can be made of ``shape``; what stops one formula must not stop the others."""
+    try:
+        outcome(shape, lambda i: f"x{i}")
+    except RecursionError:
+        return TOO_DEEP
+    except Exception as problem:
+        return f"EXECUTION_ERROR: {type(problem).__name__}"
+    return None
+
+
+def _read(text: str) -> Formula:
+    """``text`` read, with a compile error instead of any exception."""
+    try:
+        formula = read_formula(text)
+        problem = None if formula.shape is None else _problem(formula.shape)
+    except Exception as failed:  # a formula's own fault, whatever it is
+        nodes = tuple(NODE.findall(text))
+        formula = Formula(tuple(dict.fromkeys(nodes)), nodes, None, None, (), None)
+        problem = f"EXECUTION_ERROR: {type(failed).__name__}"
+    return formula if problem is None else replace(formula, shape=None, constants=(), compile_error=problem)
+
+
 def _record(variable_id: int, minutes: int, deadline: int | None, text: str) -> dict:
-    formula = read_formula(text)
+    formula = _read(text)
     if minutes <= 0:
         kind = "continuous"
     elif not formula.nodes:
@@ -156,9 +182,10 @@ def read_formulas(
         F.unix_micros(F.col("time_interval").cast("timestamp")).alias("deadline"),
         "formula",
     )
-    rows = active.limit(max_formulas + 1).collect()
-    if len(rows) > max_formulas or sum(len(row.formula) for row in rows) > max_characters:
+    size = active.agg(F.count("*").alias("rows"), F.sum(F.length("formula")).alias("characters")).first()
+    if size.rows > max_formulas or (size.characters or 0) > max_characters:
         return _read_in_tasks(spark, active)
+    rows = active.collect()
     records = [_record(*row) for row in rows]
     kinds_of: dict[str, set[str]] = {}
     for record in records:
