@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -15,6 +16,7 @@ from gaugework.plans.reports import with_text_times
 from gaugework.session import fresh_dir
 from gaugework.sources import results
 from gaugework.sources.readings import number_column
+from gaugework.streaming.service import rerun_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -229,36 +231,48 @@ def executions_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def batch_stats(spark: SparkSession, folder: str) -> DataFrame:
-    """Counters per batch of 200 readings."""
+    """Counters per batch of 200 readings; all windows are counted with the first batch."""
     rows = readings(spark, folder)
+    formulas, schedule = replayed(spark, "W1", "W3", "W5")
     made = gw.evaluate(rows, fixtures.table(spark, fixtures.CONTINUOUS))
-    windows = made.limit(0).select("variable_id", "result", "error", F.col("result_on").alias("window_end"))
+    windows = gw.evaluate_windows(rows, formulas, schedule)
     out = saved(spark, gw.all_executions(made, windows, END))
-    batch = F.expr("tag_id div 200")
+    batch = F.expr("coalesce(tag_id, 0) div 200")
+    dead = results.failures(spark, out).withColumn("batch_id", batch)
     return gw.batch_stats(
         results.executions(spark, out).withColumn("batch_id", batch),
-        results.failures(spark, out).withColumn("batch_id", batch),
+        dead,
         rows.withColumn("batch_id", F.expr("id div 200")),
     )
 
 
 # Streams
 
-
-def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = events(spark, folder).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64)
-    # A pattern, because the file source takes a single file in no other way.
-    return as_readings(stream.parquet(f"{folder}/event[s].parquet"))
+BATCHES = 4
 
 
-def drained(spark: SparkSession, folder: str, variables: list[fixtures.Variable], **how) -> str:
-    """Run a stream over all events to its end; the path of its tables."""
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """All events as a stream of ``BATCHES`` micro-batches, in order of their ids."""
+    rows = events(spark, folder)
+    path = fresh_dir(spark, "events")
+    part = F.expr(f"event_id * {BATCHES} div {rows.agg(F.max('event_id')).first()[0] + 1}")
+    for at in range(BATCHES):
+        # A file each, as the source takes one a batch, the oldest first.
+        rows.where(part == at).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.02)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+    return as_readings(stream.parquet(path))
+
+
+def drained(spark: SparkSession, folder: str, variables: Callable[[str], list[fixtures.Variable]], **how) -> str:
+    """Run a stream over all events to its end; the path of its tables.
+
+    ``variables`` gives the formulas, whenever they are read, from that path.
+    """
     out = fresh_dir(spark, "stream")
-    source = how.pop("source", None)
     query = gw.start_stream(
-        event_stream(spark, folder) if source is None else source,
-        lambda: fixtures.table(spark, variables),
+        event_stream(spark, folder),
+        lambda: fixtures.table(spark, variables(out)),
         out,
         f"{out}/checkpoint",
         **{"start": "earliest", "clock": "event", **how},
@@ -279,23 +293,30 @@ def _streamed(spark: SparkSession, out: str) -> DataFrame:
 
 
 def stream_continuous(spark: SparkSession, folder: str) -> DataFrame:
-    return _streamed(spark, drained(spark, folder, fixtures.STREAMED))
+    """Each batch under the latest values as they were after it."""
+    return _streamed(spark, drained(spark, folder, lambda out: fixtures.CONTINUOUS))
+
+
+def stream_replayed(spark: SparkSession, folder: str) -> DataFrame:
+    """The last batch is run twice, as after a crash before its commit."""
+    out = drained(spark, folder, lambda out: fixtures.CONTINUOUS)
+    rows = readings(spark, folder)
+    last = rows.where(f"id * {BATCHES} div {rows.agg(F.max('id')).first()[0] + 1} = {BATCHES - 1}")
+    rerun_batch(last, lambda: fixtures.table(spark, fixtures.CONTINUOUS), out, BATCHES - 1, clock="event")
+    return _streamed(spark, out)
 
 
 def stream_latest_state(spark: SparkSession, folder: str) -> DataFrame:
-    out = drained(spark, folder, fixtures.STREAMED[:1])
-    last = results.batches(spark, out).agg(F.max("batch_id")).first()[0]
-    return spark.read.parquet(f"{out}/latest/slot={last % 3}").select("node_id", "id", "value")
+    return gw.latest_state_table(spark, drained(spark, folder, lambda out: fixtures.CONTINUOUS))
 
 
-def stream_windowed(spark: SparkSession, folder: str) -> DataFrame:
-    out = drained(
-        spark,
-        folder,
-        fixtures.windowed("W1", "W2", "W3", "W5", "W6"),
-        windows="replay",
-        read_history=lambda: readings(spark, folder),
-    )
+def stream_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals of the service, without the times."""
+    out = drained(spark, folder, lambda out: fixtures.CONTINUOUS)
+    return gw.service_stats(spark, out).drop("first_batch_at", "last_batch_at")
+
+
+def _windows_of(spark: SparkSession, out: str) -> DataFrame:
     done = results.executions(spark, out).select(
         "variable_id", "window_end", "result", F.lit(None).cast("string").alias("error")
     )
@@ -308,18 +329,41 @@ def stream_windowed(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(with_text_times(done.unionByName(dead), "window_end"))
 
 
+def stream_windowed(spark: SparkSession, folder: str) -> DataFrame:
+    out = drained(
+        spark,
+        folder,
+        lambda out: fixtures.windowed("W1", "W2", "W3", "W5", "W6"),
+        windows="replay",
+        read_history=lambda: readings(spark, folder),
+    )
+    return _windows_of(spark, out)
+
+
+def ticked(spark: SparkSession, folder: str) -> str:
+    return drained(
+        spark, folder, lambda out: fixtures.TICKED, windows="tick", read_history=lambda: readings(spark, folder)
+    )
+
+
+def stream_ticks(spark: SparkSession, folder: str) -> DataFrame:
+    """At most one window per formula and batch: due, evaluated, and its deadline moved on."""
+    return _windows_of(spark, ticked(spark, folder))
+
+
+def stream_deadlines(spark: SparkSession, folder: str) -> DataFrame:
+    """The deadlines after the last batch."""
+    return with_text_times(gw.deadlines(spark, ticked(spark, folder)), "time_interval")
+
+
 def stream_formula_refresh(spark: SparkSession, folder: str) -> DataFrame:
-    """Half of the readings under one formula table, the rest under its successor.
+    """One service whose formula table is replaced after half of its batches."""
 
-    The second service resumes after the last id the first one has processed.
-    """
-    middle = events(spark, folder).agg(F.expr("max(event_id) div 2")).first()[0]
-    stream = event_stream(spark, folder)
-    first = drained(spark, folder, fixtures.STREAMED, source=stream.filter(F.col("id") <= middle))
-    state = results.batches(spark, first).orderBy(F.col("batch_id").desc()).limit(1)
-    after = gw.start_offset(state, readings(spark, folder)).first()[0]
-    second = drained(spark, folder, fixtures.REPLACED, source=stream, start=after)
-    return _streamed(spark, first).unionByName(_streamed(spark, second))
+    def variables(out: str) -> list[fixtures.Variable]:
+        first = results.batches(spark, out).count() < BATCHES // 2
+        return fixtures.CONTINUOUS if first else fixtures.REPLACED
+
+    return _streamed(spark, drained(spark, folder, variables, refresh_seconds=0))
 
 
 QUERIES: dict[str, Query] = {
@@ -358,4 +402,8 @@ QUERIES: dict[str, Query] = {
     "stream_latest_state": stream_latest_state,
     "stream_windowed": stream_windowed,
     "stream_formula_refresh": stream_formula_refresh,
+    "stream_replayed": stream_replayed,
+    "stream_totals": stream_totals,
+    "stream_ticks": stream_ticks,
+    "stream_deadlines": stream_deadlines,
 }

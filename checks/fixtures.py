@@ -391,8 +391,14 @@ EMPTY = Variable(91, "EMPTY", "  ", failure="'COMPILE_ERROR: Empty formula'")
 DELETED = Variable(92, "DELETED", "{click} + 1", deleted=True, failure="'UNKNOWN_VARIABLE'")
 UNKNOWN = Variable(93, "UNKNOWN", None, failure="'UNKNOWN_VARIABLE'")
 
-# Formulas over one node each, so the outcome does not depend on batches.
-STREAMED = [variable for variable in CONTINUOUS if variable.name in ("V1", "V3", "V6", "V8", "V9")]
+# Weekly windows of which one is due in each of the stream's batches, one that is
+# always stale, and one without a first deadline.
+TICKED = [
+    Variable(21, "T1", "SUM({click})", minutes=10_080, anchor="2024-01-05 00:00:00"),
+    Variable(22, "T2", "SUM({view})", minutes=1_440, anchor="2024-01-01 06:00:00"),
+    Variable(23, "T3", "SUM({error})", minutes=10_080),
+    Variable(24, "T4", "SUM({click})", minutes=10_080, anchor="2030-01-01 00:00:00"),
+]
 REPLACED = [
     Variable(1, "V1", "{click} * 0.002", value="click * 0.002::DOUBLE"),
     Variable(9, "V9", "{view} + 1", value="view + 1"),

@@ -253,13 +253,43 @@ def scenarios() -> str:
     return f"WITH u AS (SELECT user_id, {highest} FROM events GROUP BY user_id)\n" + "\nUNION ALL\n".join(parts)
 
 
-STREAMED = continuous(fixtures.STREAMED)
-HALVES = (
-    f"WITH {READINGS},\n{snapshot()},\nhalf AS (SELECT max(id) // 2 AS middle FROM readings)\n"
-    f"SELECT * FROM ({outcomes(fixtures.STREAMED)}) WHERE tag_id <= (SELECT middle FROM half)\nUNION ALL\n"
-    f"SELECT * FROM ({outcomes(fixtures.REPLACED)}) WHERE tag_id > (SELECT middle FROM half)"
+PARTS = 4
+LATEST_OF = ", ".join(f"arg_max(value, id) FILTER (WHERE short = '{name}') AS {name}" for name in NODES)
+OWN_OR_LATEST = ", ".join(f"CASE WHEN r.short = '{name}' THEN r.value ELSE s.{name} END AS {name}" for name in NODES)
+# Each batch of a stream sees the latest values as they are at its own end.
+BATCHED = f"""{READINGS},
+parts AS (SELECT *, id * {PARTS} // (max(id) OVER () + 1) AS part FROM readings),
+snap AS (SELECT p.part, {LATEST_OF} FROM (SELECT DISTINCT part FROM parts) p JOIN parts r ON r.part <= p.part GROUP BY p.part),
+t AS (SELECT r.id, r.short, r.ts, r.part, {OWN_OR_LATEST} FROM parts r JOIN snap s ON s.part = r.part)"""
+STREAMED = f"WITH {BATCHED}\nSELECT * FROM ({outcomes(fixtures.CONTINUOUS)})"
+REFRESHED = (
+    f"WITH {BATCHED}\nSELECT * EXCLUDE (part) FROM ({outcomes(fixtures.CONTINUOUS, 'part, id AS tag_id')}) WHERE part < 2\n"
+    f"UNION ALL\nSELECT * EXCLUDE (part) FROM ({outcomes(fixtures.REPLACED, 'part, id AS tag_id')}) WHERE part >= 2"
 )
 
+
+def ticks() -> str:
+    """``ticks``: what each batch does about each formula of TICKED, and the deadline after it."""
+    rows = ", ".join(
+        f"({v.id}::BIGINT, '{v.nodes[0]}', INTERVAL '{v.minutes}' MINUTE, "
+        f"{'NULL' if v.anchor is None else repr(v.anchor)}::TIMESTAMP)"
+        for v in fixtures.TICKED
+    )
+    action = """CASE WHEN next IS NULL THEN 'init' WHEN now < next THEN 'wait'
+            WHEN now > next + len THEN 'stale' ELSE 'run' END"""
+    return f"""WITH RECURSIVE {READINGS},
+parts AS (SELECT *, id * {PARTS} // (max(id) OVER () + 1) AS part FROM readings),
+clock AS (SELECT part, max(max(ts)) OVER (ORDER BY part) AS now FROM parts GROUP BY part),
+formulas(variable_id, short, len, anchor) AS (VALUES {rows}),
+ticks AS (
+    SELECT -1::BIGINT AS part, variable_id, short, len, NULL::TIMESTAMP AS window_end, anchor AS next FROM formulas
+    UNION ALL
+    SELECT part, variable_id, short, len, CASE WHEN action = 'run' THEN next END,
+        CASE WHEN action IN ('init', 'stale') THEN now + len WHEN action = 'wait' THEN next ELSE next + len END
+    FROM (SELECT c.part, variable_id, short, len, next, now, {action} AS action
+        FROM ticks t JOIN clock c ON c.part = t.part + 1))"""
+
+
 ACTIVE = f"""WITH {CUSTOMER_VARIABLES}
 SELECT variable_id, pre_save_formula AS formula,
     CASE WHEN formula_type IS NULL OR formula_type = '' THEN 'SINGLE' ELSE formula_type END AS formula_type,
@@ -307,7 +337,7 @@ UNION ALL SELECT max(event_id), 'stored zero' FROM events UNION ALL SELECT 4711,
     "raw_data_latest": f"""WITH {READINGS}
 SELECT id, node_id, split_part(node_id, '.', -1) AS alias, value, {stamp("ts")} AS timestamp, 'Good' AS quality
 FROM readings ORDER BY id DESC LIMIT 20""",
-    "raw_data_stats": f"""SELECT count(*) FILTER (WHERE ts >= {MIDDLE} - INTERVAL 1 SECOND) AS tags_per_second,
+    "raw_data_stats": f"""SELECT count(*) FILTER (WHERE ts BETWEEN {MIDDLE} - INTERVAL 1 SECOND AND {MIDDLE}) AS tags_per_second,
     count(DISTINCT event_type) AS distinct_nodes FROM events""",
     "active_formulas": ACTIVE,
     "formula_nodes": FORMULA_NODES,
@@ -355,7 +385,9 @@ FROM variables v LEFT JOIN (SELECT * FROM ex WHERE error IS NULL) e ON e.variabl
 WHERE NOT v.is_deleted AND v.formula_type = 'SINGLE' GROUP BY 1, 2, 3 ORDER BY 1""",
     "batch_stats": f"""WITH {READINGS},
 {snapshot()},
-o AS (SELECT tag_id // 200 AS batch_id, error FROM ({outcomes(fixtures.CONTINUOUS)})),
+{windowed("W1", "W3", "W5")},
+o AS (SELECT tag_id // 200 AS batch_id, error FROM ({outcomes(fixtures.CONTINUOUS)})
+    UNION ALL SELECT 0, error FROM done),
 r AS (SELECT id // 200 AS batch_id, count(*) AS n FROM readings GROUP BY 1)
 SELECT r.batch_id, any_value(r.n)::BIGINT AS readings, count(*) FILTER (WHERE o.error IS NULL) AS successes,
     count(*) FILTER (WHERE o.error IS NOT NULL) AS failures
@@ -367,5 +399,15 @@ SELECT node_id, max(id) AS id, arg_max(value, id) AS value FROM readings GROUP B
 {windowed("W1", "W2", "W3", "W5", "W6")}
 SELECT variable_id, CASE WHEN error IS NULL THEN {stamp("window_end")} END AS window_end,
     round(result, 8) AS result, error FROM done WHERE window_end <= (SELECT max(ts) FROM readings)""",
-    "stream_formula_refresh": HALVES,
+    "stream_formula_refresh": REFRESHED,
+    "stream_replayed": STREAMED,
+    "stream_totals": f"""WITH {BATCHED}
+SELECT (SELECT count(*) FROM readings) AS total_tags_processed, (SELECT count(DISTINCT part) FROM parts) AS batches_processed,
+    count(*) AS total_formulas_executed FROM ({outcomes(fixtures.CONTINUOUS)}) WHERE error IS NULL""",
+    "stream_ticks": f"""{ticks()}
+SELECT t.variable_id, {stamp("t.window_end")} AS window_end, round(sum(r.value), 8) AS result, NULL::VARCHAR AS error
+FROM ticks t JOIN readings r ON r.short = t.short AND r.ts BETWEEN t.window_end - t.len AND t.window_end
+GROUP BY t.variable_id, t.window_end""",
+    "stream_deadlines": f"""{ticks()}
+SELECT variable_id, {stamp("next")} AS time_interval FROM ticks WHERE part = {PARTS - 1}""",
 }

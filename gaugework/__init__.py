@@ -30,7 +30,7 @@ from gaugework.sources.variables import (
     formula_list,
     formula_nodes,
 )
-from gaugework.streaming.service import start_stream
+from gaugework.streaming.service import deadlines, latest_state_table, start_stream
 
 __all__ = [
     "FormulaSet",
@@ -38,6 +38,7 @@ __all__ = [
     "aligned_readings",
     "all_executions",
     "batch_stats",
+    "deadlines",
     "due_windows",
     "evaluate",
     "evaluate_scenarios",
@@ -49,6 +50,7 @@ __all__ = [
     "formula_counts",
     "formula_list",
     "formula_nodes",
+    "latest_state_table",
     "latest_values",
     "new_readings",
     "raw_data_latest",

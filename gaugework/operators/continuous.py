@@ -15,9 +15,12 @@ from gaugework.functions.formula_columns import (
 )
 from gaugework.operators.formulas import FormulaSet, as_formula_set
 from gaugework.operators.latest import latest_values
+from gaugework.session import stored
 from gaugework.sources.readings import input_error, number_column
 
-# Shapes evaluated by one projection; more are evaluated in several passes.
+# Shapes evaluated by one projection. With more, the joined rows are written once,
+# apart by groups of so many shapes, and each group is read by itself, so the
+# readings are scanned once however many shapes there are.
 SHAPES_PER_PASS = 512
 
 # The first operands of a formula are columns of their own. Further ones, which
@@ -54,11 +57,13 @@ def outcomes(
         F.lit(None).cast("double").alias("result"), F.get(present, F.lit(0)).alias("error")
     )
     parts = []
-    for chunk in passes or [()]:
-        part = rows
-        if len(passes) > 1:
-            inside = F.col("shape_id").between(chunk[0].id, chunk[-1].id)
-            part = rows.filter(inside | F.col("shape_id").isNull() if chunk is passes[0] else inside)
+    if len(passes) > 1:
+        # The number of the pass by the first shape of each; rows without a shape are in the first.
+        firsts = F.array(*(F.lit(chunk[0].id) for chunk in passes[1:]))
+        turn = F.size(F.filter(firsts, lambda first: first <= F.col("shape_id")))
+        rows = stored(rows.withColumn("_pass", F.greatest(turn, F.lit(0))), "joined", "_pass")
+    for at, chunk in enumerate(passes or [()]):
+        part = rows.filter(F.col("_pass") == at) if len(passes) > 1 else rows
         made = F.when(F.coalesce(*before).isNotNull(), stopped)
         if chunk:
             made = made.otherwise(

@@ -36,16 +36,17 @@ def raw_data_latest(readings: DataFrame, limit: int = RAW_LIMIT) -> DataFrame:
 
 
 def raw_data_stats(readings: DataFrame, as_of: datetime | str) -> DataFrame:
-    """One row: readings of the second before ``as_of``, and distinct nodes.
+    """One row: readings of the second up to ``as_of``, both ends included, and distinct nodes.
 
     Nodes are counted over the distinct node ids, which a partial aggregation
     reduces to one row per node and task before the shuffle.
     """
     kind = readings.schema["timestamp"].dataType
-    since = (F.lit(as_of).cast("timestamp") - F.expr("INTERVAL 1 SECOND")).cast(kind)
+    until = F.lit(as_of).cast("timestamp")
+    since = (until - F.expr("INTERVAL 1 SECOND")).cast(kind)
     return (
         readings.groupBy("node_id")
-        .agg(F.count_if(F.col("timestamp") >= since).alias("recent"))
+        .agg(F.count_if(F.col("timestamp").between(since, until.cast(kind))).alias("recent"))
         .agg(
             F.coalesce(F.sum("recent"), F.lit(0)).alias("tags_per_second"),
             F.count("node_id").alias("distinct_nodes"),

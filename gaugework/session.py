@@ -50,12 +50,12 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back.
+def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """``df`` written once to the shared folder, apart by ``partition_by``, and read back.
 
     Cuts the lineage, and pins values such as ``monotonically_increasing_id``
     that a recomputation after a lost executor could change.
     """
     path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

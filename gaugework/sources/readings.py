@@ -44,18 +44,13 @@ def start_offset(
     """One row: the stored high-water mark, or the highest id when none is stored.
 
     A stored 0 counts as not stored, so a new service starts from the newest
-    reading instead of the whole history.
+    reading instead of the whole history. The readings are only scanned without a mark.
     """
-    marks = state.filter(F.col("service_name") == service_name).select(
-        F.col("last_processed_id").alias("stored"), F.lit(None).cast("long").alias("id")
-    )
-    ids = readings.select(F.lit(None).cast("long").alias("stored"), F.col("id").cast("long"))
-    both = marks.unionByName(ids).agg(
-        F.max("stored").alias("stored"), F.max("id").alias("max_id")
-    )
-    return both.select(
-        F.when(F.col("stored") != 0, F.col("stored"))
-        .otherwise(F.coalesce("max_id", F.lit(0)))
-        .cast("long")
-        .alias("last_processed_id")
+    spark = state.sparkSession
+    mark = state.filter(F.col("service_name") == service_name).agg(F.max("last_processed_id")).first()[0]
+    if mark:
+        return spark.range(1).select(F.lit(mark).cast("long").alias("last_processed_id"))
+    # Alone, so that the scan can answer it from the files' statistics where that is enabled.
+    return readings.agg(F.max("id").alias("id")).select(
+        F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("last_processed_id")
     )

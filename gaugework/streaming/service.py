@@ -3,6 +3,8 @@
 All state is in tables below ``out_path``, keyed by batch:
 
 * ``start``: the id after which this service started, written once;
+* ``run``: the checkpoint that numbers its batches. With another one they would be
+  numbered anew and hide or repeat those that are there, so it is refused;
 * ``latest/slot=N``, ``deadlines/slot=N``: the snapshot and the window deadlines
   after a batch, in three slots used in turn. A batch reads the slot of the
   batch before and writes its own, so running it again gives the same state;
@@ -157,14 +159,16 @@ class _Service:
             )
         if as_of is None:
             following = deadlines
-        self.keep("deadlines", batch_id, following, schemas.DEADLINES)
-        if self.read_history is None or as_of is None:
             schedule = schedule.filter("false")
-        history = self.read_history() if self.read_history else self._no_history()
+        self.require_history(formulas)
+        self.keep("deadlines", batch_id, following, schemas.DEADLINES)
+        history = self.read_history() if self.read_history else self.spark.createDataFrame([], schemas.READINGS)
         return evaluate_windows(history, formulas, schedule)
 
-    def _no_history(self) -> DataFrame:
-        return self.spark.createDataFrame([], schemas.READINGS)
+    def require_history(self, formulas: FormulaSet) -> None:
+        """Without readings to fill them, windows would be lost as deadlines move on."""
+        if self.read_history is None and formulas.kinds - {"continuous"}:
+            raise ValueError("windowed formulas need read_history")
 
 
 def start_stream(
@@ -214,6 +218,7 @@ def start_stream(
         windows=windows,
         service_name=service_name,
     )
+    _bind(service, checkpoint)
     offset = _first_offset(service, start)
     source = readings.filter(F.col("id") > offset)
     if tick_every is not None:
@@ -235,6 +240,58 @@ def start_stream(
     return writer.trigger(**trigger).start()
 
 
+def rerun_batch(
+    readings: DataFrame,
+    read_variables: Callable[[], DataFrame],
+    out_path: str,
+    batch_id: int,
+    *,
+    read_history: Callable[[], DataFrame] | None = None,
+    clock: str = "wall",
+    delay: timedelta = timedelta(0),
+    windows: str = "tick",
+    service_name: str = "gaugework",
+) -> None:
+    """Run the last batch of a stopped service once more, over the same readings.
+
+    Its folders are replaced, so its results stay single; an earlier batch cannot be
+    run again, as the state that it started from is gone.
+    """
+    spark, out_path = readings.sparkSession, out_path.rstrip("/")
+    last = batches(spark, out_path).agg(F.max("batch_id")).first()[0]
+    if last is not None and batch_id not in (last, last + 1):
+        raise ValueError(f"the last batch is {last}")
+    _Service(
+        spark, out_path, read_variables, read_history, 0.0, clock, delay, windows, service_name
+    ).run(readings, batch_id)
+
+
+def _bind(service: _Service, checkpoint: str) -> None:
+    """Tie ``out_path`` to the checkpoint of its first start."""
+    path, checkpoint = f"{service.out_path}/run", checkpoint.rstrip("/")
+    bound = read_if_present(service.spark, path, "checkpoint string").first()
+    if bound is None:
+        service.spark.range(1).select(F.lit(checkpoint).alias("checkpoint")).write.mode("overwrite").parquet(path)
+    elif bound.checkpoint != checkpoint:
+        raise ValueError(f"{service.out_path} belongs to the checkpoint {bound.checkpoint}")
+
+
+def latest_state_table(spark: SparkSession, out_path: str) -> DataFrame:
+    """(node_id, id, value): the latest value of each node after the last committed batch."""
+    return _after_last_batch(spark, out_path, "latest", schemas.LATEST)
+
+
+def deadlines(spark: SparkSession, out_path: str) -> DataFrame:
+    """(variable_id, time_interval): the next deadline of each windowed formula after the last committed batch."""
+    return _after_last_batch(spark, out_path, "deadlines", schemas.DEADLINES)
+
+
+def _after_last_batch(spark: SparkSession, out_path: str, name: str, schema: str) -> DataFrame:
+    last = batches(spark, out_path).agg(F.max("batch_id")).first()[0]
+    which = "start" if last is None else last % SLOTS
+    return read_if_present(spark, f"{out_path}/{name}/slot={which}", schema)
+
+
 def _first_offset(service: _Service, start: str | int) -> int:
     """The id this service starts after: stored at the first start, then kept.
 

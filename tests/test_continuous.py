@@ -115,3 +115,32 @@ def test_new_readings_and_start_offset(spark, readings_of):
     assert (offset(), offset(0), offset(4)) == (9, 9, 4)
     nothing = spark.createDataFrame([], state)
     assert gw.start_offset(nothing, rows.limit(0)).first()[0] == 0
+
+
+def test_readings_are_scanned_once_for_any_number_of_shapes(spark, readings_of, variables_of, tmp_path, monkeypatch):
+    from gaugework.operators import continuous
+
+    monkeypatch.setattr(continuous, "SHAPES_PER_PASS", 4)
+    rows = [(i, "ab"[i % 2], float(i), f"2024-01-01 00:00:{i:02d}") for i in range(1, 21)]
+    path = str(tmp_path / "readings")
+    readings_of(rows, "double").write.parquet(path)
+    variables = variables_of(*((i, "[a]" + " + [b]" * i) for i in range(1, 19)), (90, "foo([a])"))
+    written = []
+    keep = continuous.stored
+
+    def watched(df, *how):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        written.append(plan.count("ReadSchema: struct<id:bigint,node_id:string,value:double,timestamp"))
+        return keep(df, *how)
+
+    monkeypatch.setattr(continuous, "stored", watched)
+    made = gw.evaluate(spark.read.parquet(path), variables)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert written == [1] and path not in plan
+    found = {(r.variable_id, r.tag_id): r.result for r in made.collect()}
+    latest = {"a": 20.0, "b": 19.0}
+    for i in range(1, 19):
+        for tag, node, value, _ in rows:
+            own = {**latest, node: value}
+            assert found[i, tag] == pytest.approx(own["a"] + i * own["b"])
+    assert {k for k in found if k[0] == 90} == {(90, tag) for tag, node, *_ in rows if node == "a"}

@@ -4,6 +4,7 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 import gaugework as gw
@@ -206,3 +207,32 @@ def test_ticks_fire_windows_without_readings(spark, plant, variables_of):
         assert row.result == sum(range(2, 21, 2)) and row.batch_id > 0
     finally:
         query.stop()
+
+
+def test_windows_without_history_are_refused(plant, variables_of):
+    plant.add(0)
+    with pytest.raises(StreamingQueryException, match="read_history"):
+        plant.drain(variables_of((1, "SUM([a])", 5, "2024-01-01 00:05:00")))
+
+
+def test_another_checkpoint_is_refused(plant, readings_of, variables_of):
+    variables = variables_of(*FORMULAS)
+    plant.add(0)
+    plant.drain(variables)
+    checkpoint, plant.checkpoint = plant.checkpoint, plant.checkpoint + "-new"
+    with pytest.raises(ValueError, match="belongs to the checkpoint"):
+        plant.drain(variables)
+    plant.checkpoint = checkpoint
+    plant.add(1)
+    plant.drain(variables)
+    assert plant.outcomes() == expected(readings_of, variables, [0, 1])
+
+
+def test_state_can_be_read_back(spark, plant, variables_of):
+    assert gw.latest_state_table(spark, plant.out).count() == 0
+    plant.add(0)
+    plant.add(1)
+    plant.drain(variables_of((1, "SUM([a])", 60, "2024-01-01 00:30:00")), read_history=plant.history)
+    assert sorted(gw.latest_state_table(spark, plant.out).collect()) == sorted(latest_state(plant.history()).collect())
+    deadline = gw.deadlines(spark, plant.out).first()
+    assert deadline.variable_id == 1 and deadline.time_interval == datetime(2024, 1, 1, 1, 30)
