@@ -21,12 +21,14 @@ fingerprints. Everything is DataFrame functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.llm.tables import text_of
 
-SUBSETS = 48
+SUBSETS = 40
 #: Subsets keep one term in 2**LEAST_SHARE, one in twice that, and so on, SHARES times over.
 LEAST_SHARE, SHARES = 4, 5
 #: Documents of a bucket when neighbours are paired, and the most buckets.
@@ -40,7 +42,7 @@ def terms(text: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(words, lambda word: F.xxhash64(word))))
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = (2.0, 8.0), lexicon_size: int = 8192) -> list[int]:
+def lexicon(docs: DataFrame, band: tuple[float, float] = (2.0, 8.0), lexicon_size: int = 6144) -> list[int]:
     """Hashes of the terms within the band, at most ``lexicon_size``.
 
     Document frequencies cover all documents; partial counts are added up before
@@ -54,22 +56,28 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = (2.0, 8.0), lexicon_siz
     return sorted(row["term"] for row in chosen.collect())
 
 
+def _packed(known: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, known))), ",").cast("array<bigint>") if known else F.lit([]).cast("array<bigint>")
+
+
 def inside(text: Column, known: list[int]) -> Column:
     """The sorted distinct lexicon terms of ``text``."""
-    packed = F.split(F.lit(",".join(map(str, known))), ",").cast("array<bigint>")
     # The constant side first: a set is then built of the text's terms only.
-    return F.array_intersect(packed, terms(text)) if known else F.lit([]).cast("array<bigint>")
+    return F.array_intersect(_packed(known), terms(text))
+
 
+def hashes(found: Column, subsets: int = SUBSETS) -> Column:
+    """A hash for each randomised lexicon, null where it has no term of the text.
 
-def hashes(inside: Column, subsets: int = SUBSETS) -> Column:
-    """A hash for each randomised lexicon, null where it has no term of the text."""
+    A term is in the k-th lexicon if a window of its hash's bits, at a place of k's own, is zero.
+    """
 
-    def one(k):
-        share = F.pow(F.lit(2), LEAST_SHARE + k % SHARES).cast("long")
-        kept = F.filter(inside, lambda term: F.pmod(F.xxhash64(k, term), share) == 0)
-        return F.when(F.size(kept) > 0, F.xxhash64(kept).bitwiseAND(0xFFFFFFFF))
+    def chosen(k: int):
+        share = (1 << (LEAST_SHARE + k % SHARES)) - 1
+        return lambda term: F.shiftright(term, 5 * k % 56).bitwiseAND(F.lit(share)) == 0
 
-    return F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), one)
+    kept = F.array(*(F.filter(found, chosen(k)) for k in range(subsets)))
+    return F.transform(kept, lambda part: F.when(F.size(part) > 0, F.xxhash64(part).bitwiseAND(F.lit(0xFFFFFFFF))))
 
 
 def shown(hashes: Column, text: Column) -> Column:
@@ -87,8 +95,10 @@ def likeness(a: Column, b: Column, same: Column) -> Column:
     return F.when(F.size(told) > 0, equal / F.size(told)).otherwise(same.cast("double"))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with ``next``, the text of the document after, in order of doc_id.
+def with_next(docs: DataFrame, add: Callable[[DataFrame], DataFrame] = lambda rows: rows, also: str = "text") -> DataFrame:
+    """``docs`` (doc_id, text) with ``next``, the document after in order of doc_id: its text.
+
+    ``add`` makes a column ``also`` from a document's text, once for itself and for ``next``.
 
     Equal ids are in order of a hash of their texts, null ids come first; after the
     last document comes the first. Ids are cut into ranges of about ``BUCKET_DOCS``
@@ -130,8 +140,10 @@ def with_next(docs: DataFrame) -> DataFrame:
         "doc_id", "text", "tie", F.col("ends").alias("bucket"), F.lit(1).alias("guard"), "around"
     )
     both = rows.withColumns({"guard": F.lit(0), "around": F.lit(False)}).unionByName(guards)
+    made = add(both).select("doc_id", "text", "tie", "bucket", "guard", *{also} - {"text"})
     order = Window.partitionBy("bucket").orderBy("guard", F.asc_nulls_first("doc_id"), "tie")
-    return both.withColumn("next", F.lead("text").over(order)).where("guard = 0").select("doc_id", "text", "next")
+    after = F.lead(F.struct(*{"text", also})).over(order)
+    return made.withColumn("next", after).where("guard = 0").drop("tie", "bucket", "guard")
 
 
 def fingerprint_edits(docs: DataFrame, known: list[int] | None = None) -> DataFrame:
@@ -144,11 +156,16 @@ def fingerprint_edits(docs: DataFrame, known: list[int] | None = None) -> DataFr
     known = lexicon(docs) if known is None else known
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(
-        F.substr(F.col("text"), F.lit(1), F.length("text") - half), F.substr(F.col("next"), F.lit(1), half)
+        F.substr(F.col("text"), F.lit(1), F.length("text") - half), F.substr(F.col("next.text"), F.lit(1), half)
     )
-    rows = with_next(docs).withColumn("edited", edited)
-    rows = rows.withColumns({f"in_{c}": inside(F.col(c), known) for c in ("text", "next", "edited")})
-    rows = rows.withColumns({f"h_{c}": hashes(F.col(f"in_{c}")) for c in ("text", "next", "edited")})
+
+    def hashed(rows: DataFrame, name: str) -> DataFrame:
+        # The terms in a step of their own: every lexicon asks for them.
+        rows = rows.withColumn("inside", inside(F.col(name), known))
+        return rows.withColumn(f"h_{name}", hashes(F.col("inside"))).drop("inside")
+
+    rows = with_next(docs, lambda rows: hashed(rows, "text"), "h_text").withColumn("edited", edited)
+    rows = hashed(rows, "edited")
     return rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
@@ -156,5 +173,5 @@ def fingerprint_edits(docs: DataFrame, known: list[int] | None = None) -> DataFr
         shown(F.col("h_text"), F.col("text")).alias("fingerprint"),
         shown(F.col("h_edited"), F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("h_text"), F.col("h_edited"), F.col("text") == F.col("edited")).alias("near_edited"),
-        likeness(F.col("h_text"), F.col("h_next"), F.col("text") == F.col("next")).alias("near_next"),
+        likeness(F.col("h_text"), F.col("next.h_text"), F.col("text") == F.col("next.text")).alias("near_next"),
     )
