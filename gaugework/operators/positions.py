@@ -12,26 +12,24 @@ ROWS_PER_TASK = 2_000_000
 
 
 def with_positions(
-    rows: DataFrame,
-    keys: list[str],
-    order: list[str],
-    within: DataFrame | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows: DataFrame, keys: list[str], order: list[str], rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """``rows`` with ``position``, counted from 0 in ``order`` within ``keys``.
 
-    While no group is large, a plain ``row_number`` does. Otherwise groups are
-    cut into ranges, so that no task gets a whole hot group. ``within`` is a
-    table that has at least as many rows as any group and is cheaper to count;
-    if that count does not settle it, the largest group is measured, by a
-    partial aggregation that reads the key columns only.
+    Groups are measured once, by a partial aggregation that reads the key columns
+    only. A plain ``row_number`` numbers all but the large ones, which are cut into
+    ranges, so that no task gets a whole hot group. There are fewer of those than
+    rows / ``rows_per_task``, so their keys are broadcast.
     """
-    if within is None or within.count() > rows_per_task:
-        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        if (sizes.agg(F.max("n")).first()[0] or 0) > rows_per_task:
-            return positions_by_range(rows, keys, order)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    large = stored(sizes.filter(F.col("n") > rows_per_task).select(*keys), "large")
     ordered = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("position", F.row_number().over(ordered).cast("long") - 1)
+    position = F.row_number().over(ordered).cast("long") - 1
+    if large.isEmpty():
+        return rows.withColumn("position", position)
+    others = rows.join(F.broadcast(large), keys, "left_anti").withColumn("position", position)
+    hot = rows.join(F.broadcast(large), keys, "left_semi")
+    return others.select(*rows.columns, "position").unionByName(positions_by_range(hot, keys, order))
 
 
 def positions_by_range(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -143,6 +143,9 @@ def test_positions_of_a_hot_group_match_row_numbers(spark):
     ranged = positions_by_range(rows, ["node"], ["at", "id"])
     assert plain.exceptAll(ranged).count() == 0
     assert ranged.exceptAll(plain).count() == 0
+    # Only the hot group goes by ranges.
+    mixed = with_positions(rows, ["node"], ["at", "id"], rows_per_task=5_000)
+    assert mixed.exceptAll(plain).count() == 0 and plain.exceptAll(mixed).count() == 0
 
 
 def test_a_hot_group_is_cut_into_ranges(spark, tmp_path):
