@@ -316,6 +316,14 @@ def stream_totals(spark: SparkSession, folder: str) -> DataFrame:
     return gw.service_stats(spark, out).drop("first_batch_at", "last_batch_at")
 
 
+def stream_executions_newest(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest 100 executions by the time that they were saved at; only the last batch is read."""
+    out = drained(spark, folder, lambda out: fixtures.CONTINUOUS)
+    variables = fixtures.table(spark, fixtures.CONTINUOUS)
+    made = gw.executions_latest(gw.newest_executions(spark, out, 100), variables)
+    return rounded(made.select("variable_id", "variable_name", "tag_id", "result"))
+
+
 def _windows_of(spark: SparkSession, out: str) -> DataFrame:
     done = results.executions(spark, out).select(
         "variable_id", "window_end", "result", F.lit(None).cast("string").alias("error")
@@ -404,6 +412,7 @@ QUERIES: dict[str, Query] = {
     "stream_formula_refresh": stream_formula_refresh,
     "stream_replayed": stream_replayed,
     "stream_totals": stream_totals,
+    "stream_executions_newest": stream_executions_newest,
     "stream_ticks": stream_ticks,
     "stream_deadlines": stream_deadlines,
 }

@@ -404,6 +404,11 @@ SELECT variable_id, CASE WHEN error IS NULL THEN {stamp("window_end")} END AS wi
     "stream_totals": f"""WITH {BATCHED}
 SELECT (SELECT count(*) FROM readings) AS total_tags_processed, (SELECT count(DISTINCT part) FROM parts) AS batches_processed,
     count(*) AS total_formulas_executed FROM ({outcomes(fixtures.CONTINUOUS)}) WHERE error IS NULL""",
+    "stream_executions_newest": f"""WITH {BATCHED},
+names AS (SELECT unnest({[v.id for v in fixtures.CONTINUOUS]})::BIGINT AS variable_id, unnest({[v.name for v in fixtures.CONTINUOUS]}) AS variable_name)
+SELECT variable_id, variable_name, tag_id, round(result, 8) AS result
+FROM ({outcomes(fixtures.CONTINUOUS, "part, id AS tag_id")}) JOIN names USING (variable_id)
+WHERE error IS NULL ORDER BY part DESC, variable_id, tag_id LIMIT 100""",
     "stream_ticks": f"""{ticks()}
 SELECT t.variable_id, {stamp("t.window_end")} AS window_end, round(sum(r.value), 8) AS result, NULL::VARCHAR AS error
 FROM ticks t JOIN readings r ON r.short = t.short AND r.ts BETWEEN t.window_end - t.len AND t.window_end

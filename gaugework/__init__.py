@@ -23,7 +23,7 @@ from gaugework.plans.reports import (
     with_text_times,
 )
 from gaugework.sources.readings import new_readings, start_offset
-from gaugework.sources.results import executions, failures, service_stats
+from gaugework.sources.results import executions, failures, newest_executions, service_stats
 from gaugework.sources.variables import (
     active_formulas,
     formula_counts,
@@ -53,6 +53,7 @@ __all__ = [
     "latest_state_table",
     "latest_values",
     "new_readings",
+    "newest_executions",
     "raw_data_latest",
     "raw_data_stats",
     "read_formulas",

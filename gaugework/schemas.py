@@ -26,6 +26,9 @@ STATE = (
     "as_of timestamp, readings bigint"
 )
 
+# The log of batches: the state after each, and how many outcomes it has.
+BATCHES = STATE + ", successes bigint, failures bigint, batch_id bigint"
+
 LATEST = "node_id string, id bigint, value double"
 
 DEADLINES = "variable_id bigint, time_interval timestamp"

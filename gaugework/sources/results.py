@@ -50,19 +50,27 @@ def write_batch(
     updated_at: datetime | None = None,
     service_name: str = "gaugework",
 ) -> None:
-    """The line of the log that commits a batch; ``as_of`` is in microseconds."""
+    """The line of the log that commits a batch; ``as_of`` is in microseconds.
+
+    Its outcomes are counted from the files just written, of which only the footers are read.
+    """
+    path = f"{out_path}/outcomes/batch_id={batch_id}"
+    written = read_if_present(spark, path, OUTCOMES + ", failed boolean").groupBy("failed").count()
+    count = {row.failed: row["count"] for row in written.collect()}
     spark.range(1).select(
         F.lit(service_name).alias("service_name"),
         F.lit(last_processed_id).cast("long").alias("last_processed_id"),
         (F.current_timestamp() if updated_at is None else F.lit(updated_at)).alias("updated_at"),
         F.timestamp_micros(F.lit(as_of).cast("long")).alias("as_of"),
         F.lit(readings).cast("long").alias("readings"),
+        F.lit(count.get(False, 0)).cast("long").alias("successes"),
+        F.lit(count.get(True, 0)).cast("long").alias("failures"),
     ).coalesce(1).write.mode("overwrite").parquet(f"{out_path}/batches/batch_id={batch_id}")
 
 
 def batches(spark: SparkSession, out_path: str) -> DataFrame:
     """One row per committed batch: counts, high-water mark and clock."""
-    return read_if_present(spark, f"{out_path}/batches", schemas.STATE + ", batch_id bigint")
+    return read_if_present(spark, f"{out_path}/batches", schemas.BATCHES)
 
 
 def _committed(spark: SparkSession, out_path: str) -> DataFrame:
@@ -89,6 +97,21 @@ def executions(spark: SparkSession, out_path: str) -> DataFrame:
     )
 
 
+def newest_executions(spark: SparkSession, out_path: str, limit: int) -> DataFrame:
+    """Successful evaluations of the newest batches that have ``limit`` of them together.
+
+    All of a batch are created at one time, so these hold the newest ``limit`` of all. The log
+    says which batches they are, and no other batch's files are listed in the plan.
+    """
+    log = batches(spark, out_path).filter("successes > 0").orderBy(F.col("batch_id").desc())
+    first, total = 0, 0
+    for row in log.select("batch_id", "successes").limit(limit).collect():
+        first, total = row.batch_id, total + row.successes
+        if total >= limit:
+            break
+    return executions(spark, out_path).filter(F.col("batch_id") >= first)
+
+
 def as_failures(outcomes: DataFrame) -> DataFrame:
     """Failed outcomes in the form of the dead-letter table."""
     return outcomes.select(
@@ -108,21 +131,11 @@ def failures(spark: SparkSession, out_path: str) -> DataFrame:
 
 
 def service_stats(spark: SparkSession, out_path: str) -> DataFrame:
-    """One row of totals: readings, successful evaluations, batches, and the times.
-
-    Successes are counted from the committed outcomes, of which only the batch
-    folders and no column are read.
-    """
-    log = batches(spark, out_path).agg(
+    """One row of totals, from the log alone: readings, batches, successful evaluations, and the times."""
+    return batches(spark, out_path).agg(
         F.coalesce(F.sum("readings"), F.lit(0)).alias("total_tags_processed"),
         F.count(F.lit(1)).alias("batches_processed"),
         F.min("updated_at").alias("first_batch_at"),
         F.max("updated_at").alias("last_batch_at"),
-    )
-    done = _committed(spark, out_path).filter(~F.col("failed")).agg(
-        F.count(F.lit(1)).alias("total_formulas_executed")
-    )
-    # Two rows, one of each table, folded into one.
-    return log.unionByName(done, allowMissingColumns=True).agg(
-        *(F.max(name).alias(name) for name in (*log.columns, *done.columns))
+        F.coalesce(F.sum("successes"), F.lit(0)).alias("total_formulas_executed"),
     )

@@ -236,3 +236,23 @@ def test_state_can_be_read_back(spark, plant, variables_of):
     assert sorted(gw.latest_state_table(spark, plant.out).collect()) == sorted(latest_state(plant.history()).collect())
     deadline = gw.deadlines(spark, plant.out).first()
     assert deadline.variable_id == 1 and deadline.time_interval == datetime(2024, 1, 1, 1, 30)
+
+
+def test_newest_executions_read_the_newest_batches_only(spark, plant, variables_of):
+    for number in range(3):
+        plant.add(number)
+    variables = variables_of(*FORMULAS)
+    plant.drain(variables)
+    log = {row.batch_id: row for row in results.batches(spark, plant.out).collect()}
+    made = list(plant.outcomes().items())
+    for batch_id, row in log.items():
+        values = [value for key, value in made if key[0] == batch_id]
+        assert row.failures == sum(isinstance(value, str) for value in values)
+        assert row.successes == len(values) - row.failures
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    for limit, since in ((1, 2), (log[2].successes, 2), (log[2].successes + 1, 1), (10_000, 0)):
+        newest = gw.newest_executions(spark, plant.out, limit)
+        assert {row.batch_id for row in newest.collect()} == set(range(since, 3))
+        plan = newest._jdf.queryExecution().executedPlan().toString()
+        assert f">= {since})" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
