@@ -1,8 +1,8 @@
 """I-Match fingerprints: hashes of the distinct mid-frequency terms of a text.
 
 A term is a run of letters and digits in lower case. The lexicon has the terms whose
-inverse document frequency log2(documents / documents with the term) lies in a band. Its upper edge bounds the
-lexicon by itself: the terms in at least N / 2^upper documents are at most
+inverse document frequency, log2(documents / documents with the term), lies in a band.
+Its upper edge bounds the lexicon by itself: the terms in at least N / 2^upper documents are at most
 2^upper times the mean number of distinct terms of a document, whatever N is; of
 these, the ``lexicon_size`` rarest-hashed are kept where there are more, which is
 a random subset as each of the fingerprint's own lexicons is. That bound is what
@@ -14,9 +14,9 @@ lexicons keeps a share of them and gives one 32-bit hash. Shares halve from 1/16
 leaves alone. The likeness of two fingerprints is the share of subsets with equal
 hashes among those in which either text has a term.
 
-A text without lexicon terms, the empty one included, is fingerprinted by its terms
-outside the lexicon (its whole text if it has no term at all), so equal texts always have equal
-fingerprints. Everything is DataFrame functions.
+A text without lexicon terms, the empty one included, is fingerprinted by a hash of the
+whole text, so equal texts always have equal fingerprints. Everything is DataFrame
+functions; the driver sees the lexicon and the edges of id ranges alone.
 """
 
 from __future__ import annotations
