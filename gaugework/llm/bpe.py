@@ -18,7 +18,7 @@ import numpy as np
 import public_tokenizers
 
 #: Words a worker keeps, in each of two generations.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 120_000
 
 #: Letters for which Python's classes and the tokenizers' agree, and which
 #: normalisation leaves alone; "plain" texts have no others.

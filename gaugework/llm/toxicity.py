@@ -34,7 +34,9 @@ MAX_LABELLED = 40_000
 LEXICON = 20_000
 FOLDS = 4
 #: Words a worker keeps the weights of.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 60_000
+#: Counts that a task holds before it hands them on.
+MOST_COUNTS = 150_000
 PREFIXES = (4, 5, 6, 7, 8)
 
 #: Words that address someone.
@@ -132,11 +134,12 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return made
 
     for batch in batches:
-        for text, fold, toxic in zip(*(batch.column(c).to_pylist() for c in ("text", "fold", "toxic")), strict=True):
-            words = {spellings(word)[0] for word in set(WORD.findall(text))}
+        for text, fold, toxic in zip(*(batch.column(c) for c in ("text", "fold", "toxic")), strict=True):
+            fold, toxic = fold.as_py(), toxic.as_py()
+            words = {spellings(word)[0] for word in set(WORD.findall(text.as_py()))}
             for entry in {e for word in words for e in entries(word)}:
                 counts[entry, fold, toxic] += 1
-            if len(counts) > 500_000:
+            if len(counts) > MOST_COUNTS:
                 yield flush()
     if counts:
         yield flush()
@@ -252,8 +255,8 @@ def _measured(lexicons):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = {fold: Weights(lexicon) for fold, lexicon in lexicons.value.items()}
         for batch in batches:
-            rows = zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)
-            found = [features(text, weights[fold]) for text, fold in rows]
+            rows = zip(batch.column("text"), batch.column("fold"), strict=True)
+            found = [features(text.as_py(), weights[fold.as_py()]) for text, fold in rows]
             kept = [batch.column("toxic"), batch.column("fold"), pa.array(found, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(kept, names=["toxic", "fold", "features"])
 
