@@ -3,20 +3,18 @@
 A term is a run of letters and digits in lower case. The lexicon has the terms whose
 inverse document frequency, log2(documents / documents with the term), lies in a band.
 Its upper edge bounds the lexicon by itself: the terms in at least N / 2^upper documents are at most
-2^upper times the mean number of distinct terms of a document, whatever N is; of
-these, the ``lexicon_size`` rarest-hashed are kept where there are more, which is
-a random subset as each of the fingerprint's own lexicons is. That bound is what
-allows the lexicon to be part of the plan.
+2^upper times the mean number of distinct terms of a document, whatever N is. All of
+them are kept, and that bound is what allows the lexicon to be broadcast.
 
-A text's lexicon terms are sorted and made distinct; each of ``subsets`` randomised
-lexicons keeps a share of them and gives one 32-bit hash. Shares halve from 1/16 to
-1/256 and start again, so that short and long texts both have subsets that an edit
-leaves alone. The likeness of two fingerprints is the share of subsets with equal
-hashes among those in which either text has a term.
+A text's lexicon terms are sorted and made distinct; each of ``SUBSETS`` randomised
+lexicons, drawn independently of each other, keeps a share of them and gives one 32-bit
+hash. Shares halve from 1/16 to 1/256 and start again, so that short and long texts both
+have subsets that an edit leaves alone. The likeness of two fingerprints is the share of
+subsets with equal hashes among those in which either text has a term.
 
 A text without lexicon terms, the empty one included, is fingerprinted by a hash of the
 whole text, so equal texts always have equal fingerprints. Everything is DataFrame
-functions; the driver sees the lexicon and the edges of id ranges alone.
+functions; the driver passes on the broadcast lexicon and sees the edges of id ranges alone.
 """
 
 from __future__ import annotations
@@ -27,8 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.llm.tables import text_of
+from gaugework.session import stored
 
-SUBSETS = 40
+SUBSETS = 48
 #: Subsets keep one term in 2**LEAST_SHARE, one in twice that, and so on, SHARES times over.
 LEAST_SHARE, SHARES = 4, 5
 #: Documents of a bucket when neighbours are paired, and the most buckets.
@@ -42,8 +41,8 @@ def terms(text: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(words, lambda word: F.xxhash64(word))))
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = (2.0, 8.0), lexicon_size: int = 6144) -> list[int]:
-    """Hashes of the terms within the band, at most ``lexicon_size``.
+def lexicon(docs: DataFrame, band: tuple[float, float] = (2.0, 8.0)) -> DataFrame:
+    """Hashes (term) of all terms within the band.
 
     Document frequencies cover all documents; partial counts are added up before
     the shuffle, so a frequent term is one row per task.
@@ -51,33 +50,36 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = (2.0, 8.0), lexicon_siz
     total = docs.count()
     found = docs.select(F.explode(terms(text_of())).alias("term")).groupBy("term").count()
     low, high = (total / 2.0**edge for edge in reversed(band))
-    kept = found.where(F.col("count").between(max(2.0, low), high)).select("term")
-    chosen = kept.orderBy(F.xxhash64(F.lit(11), "term"), "term").limit(lexicon_size)
-    return sorted(row["term"] for row in chosen.collect())
+    return found.where(F.col("count").between(max(2.0, low), high)).select("term")
 
 
-def _packed(known: list[int]) -> Column:
-    return F.split(F.lit(",".join(map(str, known))), ",").cast("array<bigint>") if known else F.lit([]).cast("array<bigint>")
+def drawn(known: DataFrame, subsets: int = SUBSETS) -> DataFrame:
+    """One row: ``lexicon``, the sorted terms of ``known``, and ``lexicons``, its randomised subsets.
 
+    A term is in the k-th subset by a hash of k and the term, taken here once for all texts.
+    """
 
-def inside(text: Column, known: list[int]) -> Column:
-    """The sorted distinct lexicon terms of ``text``."""
-    # The constant side first: a set is then built of the text's terms only.
-    return F.array_intersect(_packed(known), terms(text))
+    def chosen(k: int):
+        share = 1 << (LEAST_SHARE + k % SHARES)
+        return lambda term: F.pmod(F.xxhash64(F.lit(k), term), F.lit(share)) == 0
 
+    row = known.agg(F.sort_array(F.collect_set("term")).alias("lexicon"))
+    return row.withColumn("lexicons", F.array(*(F.filter("lexicon", chosen(k)) for k in range(subsets))))
 
-def hashes(found: Column, subsets: int = SUBSETS) -> Column:
-    """A hash for each randomised lexicon, null where it has no term of the text.
 
-    A term is in the k-th lexicon if a window of its hash's bits, at a place of k's own, is zero.
-    """
+def hashed(rows: DataFrame, table: DataFrame, name: str, to: str) -> DataFrame:
+    """``rows`` with ``to``: a hash of column ``name`` for each row of lexicons in ``table``, null without a term.
 
-    def chosen(k: int):
-        share = (1 << (LEAST_SHARE + k % SHARES)) - 1
-        return lambda term: F.shiftright(term, 5 * k % 56).bitwiseAND(F.lit(share)) == 0
-
-    kept = F.array(*(F.filter(found, chosen(k)) for k in range(subsets)))
-    return F.transform(kept, lambda part: F.when(F.size(part) > 0, F.xxhash64(part).bitwiseAND(F.lit(0xFFFFFFFF))))
+    The terms, and each lexicon's part of them, in steps of their own, as later steps ask for them
+    more than once. The constant side first: a set is then built of the text's terms only.
+    """
+    rows = rows.crossJoin(F.broadcast(table))
+    rows = rows.withColumn("inside", F.array_intersect("lexicon", terms(F.col(name))))
+    parts = [F.array_intersect(F.col("lexicons")[k], F.col("inside")) for k in range(SUBSETS)]
+    rows = rows.withColumn("parts", F.array(*parts)).drop("lexicon", "lexicons", "inside")
+    part = [F.col("parts")[k] for k in range(SUBSETS)]
+    made = [F.when(F.size(p) > 0, F.xxhash64(p).bitwiseAND(F.lit(0xFFFFFFFF))) for p in part]
+    return rows.withColumn(to, F.array(*made)).drop("parts")
 
 
 def shown(hashes: Column, text: Column) -> Column:
@@ -153,19 +155,15 @@ def fingerprint_edits(docs: DataFrame, known: list[int] | None = None) -> DataFr
     the next document. Returns doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next. Null texts are empty.
     """
-    known = lexicon(docs) if known is None else known
+    found = lexicon(docs) if known is None else docs.sparkSession.createDataFrame([(k,) for k in known], "term long")
+    table = stored(drawn(found), "lexicon")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(
         F.substr(F.col("text"), F.lit(1), F.length("text") - half), F.substr(F.col("next.text"), F.lit(1), half)
     )
 
-    def hashed(rows: DataFrame, name: str) -> DataFrame:
-        # The terms in a step of their own: every lexicon asks for them.
-        rows = rows.withColumn("inside", inside(F.col(name), known))
-        return rows.withColumn(f"h_{name}", hashes(F.col("inside"))).drop("inside")
-
-    rows = with_next(docs, lambda rows: hashed(rows, "text"), "h_text").withColumn("edited", edited)
-    rows = hashed(rows, "edited")
+    rows = with_next(docs, lambda rows: hashed(rows, table, "text", "h_text"), "h_text").withColumn("edited", edited)
+    rows = hashed(rows, table, "edited", "h_edited")
     return rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),

@@ -119,6 +119,31 @@ def test_imatch_pairs_neighbours_over_buckets(documents):
         assert found[i] == hashlib.sha256((a[: len(a) - half] + b[:half]).encode()).hexdigest()
 
 
+def test_imatch_lexicons_are_drawn_apart(spark, documents):
+    rows = [(i, f"common w{i // 2} v{i // 2}", "en", "a") for i in range(512)]
+    band = fingerprints.lexicon(documents(rows), (2.0, 8.0)).collect()
+    assert len(band) == 512  # all terms that are neither everywhere nor in one text alone
+    known = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 40_000).tolist()
+    table = fingerprints.drawn(spark.createDataFrame([(k,) for k in known], "term long")).first()
+    assert table["lexicon"] == sorted(known)
+    assert len(table["lexicons"]) == fingerprints.SUBSETS == 48
+    shares = [1 / (1 << (fingerprints.LEAST_SHARE + k % fingerprints.SHARES)) for k in range(48)]
+    sets = [set(part) for part in table["lexicons"]]
+    for (a, p), (b, q) in combinations(list(zip(sets, shares, strict=True)), 2):
+        mean = len(known) * p * q
+        assert len(a & b) <= mean + 6 * mean**0.5 + 6
+
+
+def test_imatch_hashes_by_the_book(spark, documents):
+    rows = documents([(i, " ".join(f"w{j}" for j in range(i, i + 40)), "en", "a") for i in range(60)])
+    table = fingerprints.drawn(fingerprints.lexicon(rows, (0.5, 8.0)))
+    kept = [set(part) for part in table.first()["lexicons"]]
+    made = fingerprints.hashed(rows.withColumn("terms", fingerprints.terms(rows["text"])), table, "text", "h").collect()
+    assert any(h is not None for r in made for h in r["h"])
+    for r in made:
+        assert [h is not None for h in r["h"]] == [bool(part & set(r["terms"])) for part in kept]
+
+
 def test_hypergeometric_margins_and_mean():
     import random
 
