@@ -172,3 +172,22 @@ def test_secrets_of_awkward_rows(documents, awkward):
     clean = secrets.without_secrets(documents([(1, "é token=abcdefgh end", "en", "a"), (2, None, "en", "a")])).collect()
     assert {(r["doc_id"], r["text"], r["n_chars"]) for r in clean} == {(1, "é [SECRET] end", 14), (2, None, None)}
     assert secrets.without_secrets(awkward).columns == awkward.columns
+
+
+class Marked(secrets.Network):
+    """Knows one secret, where it is whole within a window's own 64 characters."""
+
+    def logits(self, windows):
+        data, width, a = b"".join(windows), secrets.WIDTH, secrets.BEFORE
+        parts = [data[i : i + width][a : a + secrets.WITHIN] for i in range(0, len(data), width)]
+        return np.array([9.0 if b"q7Zk2Xv9Lw4Tn8Rb3Jd6" in part else -9.0 for part in parts])
+
+
+@pytest.mark.parametrize("tail", ["", "/and/then/some/more/of/the/path" * 3])
+def test_secrets_deep_in_a_long_candidate(tail):
+    network = Marked({}, threshold=0.5)
+    for before in range(200):
+        run = ("/srv/data1/some/long/path" * 8)[:before] + "q7Zk2Xv9Lw4Tn8Rb3Jd6" + tail
+        text = f"see {run} for 1234567890abcdefg"
+        seen = [dict(zip(("start", "end", "known", "window"), c, strict=True)) for c in secrets.candidates(text, [])]
+        assert secrets.all_spans([], seen, network) == [(4, 4 + len(run), "network")]
