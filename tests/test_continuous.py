@@ -1,3 +1,5 @@
+import pytest
+
 import gaugework as gw
 from gaugework.operators.formulas import FormulaSet
 from gaugework.operators.latest import latest_state
