@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugework.llm import (
+    divergence,
     fingerprints,
     harmonic,
     mixing,
@@ -73,6 +74,11 @@ def op10_secret_network(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_documents(read(spark, folder, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Distances of the sources of each language, and the terms that stand out in each."""
+    return divergence.divergence(read(spark, folder, "documents"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -86,6 +92,7 @@ QUERIES = {
         op8_hypergeometric_shards,
         op9_harmonic_packing,
         op10_secret_network,
+        op13_source_divergence,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {op13_source_divergence.__name__: divergence.SQL}
