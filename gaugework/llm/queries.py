@@ -8,6 +8,7 @@ from gaugework.llm import (
     divergence,
     fingerprints,
     harmonic,
+    merkle,
     mixing,
     secrets,
     shards,
@@ -74,6 +75,11 @@ def op10_secret_network(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_documents(read(spark, folder, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf, proof and folded root; half of the documents without their line feeds."""
+    return merkle.tampered_manifest(read(spark, folder, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     """Distances of the sources of each language, and the terms that stand out in each."""
     return divergence.divergence(read(spark, folder, "documents"))
@@ -92,7 +98,11 @@ QUERIES = {
         op8_hypergeometric_shards,
         op9_harmonic_packing,
         op10_secret_network,
+        op12_merkle_manifest,
         op13_source_divergence,
     )
 }
-ORACLES: dict[str, str] = {op13_source_divergence.__name__: divergence.SQL}
+ORACLES: dict[str, str] = {
+    op12_merkle_manifest.__name__: merkle.SQL,
+    op13_source_divergence.__name__: divergence.SQL,
+}
