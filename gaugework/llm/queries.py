@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gaugework.llm import (
     divergence,
     fingerprints,
+    forest,
     harmonic,
     merkle,
     mixing,
@@ -75,6 +76,11 @@ def op10_secret_network(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_documents(read(spark, folder, "documents"))
 
 
+def op11_projection_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector, by cosine within its label."""
+    return forest.near_duplicates(read(spark, folder, "embeddings"))
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's leaf, proof and folded root; half of the documents without their line feeds."""
     return merkle.tampered_manifest(read(spark, folder, "documents"))
@@ -98,6 +104,7 @@ QUERIES = {
         op8_hypergeometric_shards,
         op9_harmonic_packing,
         op10_secret_network,
+        op11_projection_forest,
         op12_merkle_manifest,
         op13_source_divergence,
     )
