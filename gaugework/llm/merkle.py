@@ -35,7 +35,7 @@ from gaugework.session import stored
 ARITY, LEVELS = 3, 8
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
-NODES = "tree string, place long, digest string, n long"
+NODES = "tree string, place long, digest string, n long, block long"
 PATHS = "tree string, place long, steps array<struct<left: string, right: string>>, subroot string, root string"
 PROOFS = (
     "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
@@ -96,10 +96,6 @@ def subtree(digests: list[str], levels: int) -> list[list[Parent]]:
     return grown
 
 
-def _block() -> Column:
-    return F.expr(f"place div {ARITY**LEVELS}")
-
-
 def _sorted(group: pa.Table) -> pa.Table:
     return group.sort_by([("place", "ascending")])
 
@@ -111,17 +107,19 @@ def _node(group: pa.Table) -> pa.Table:
     digests = group.column("digest").to_pylist()
     grown = subtree(digests, min(LEVELS, depth(n)))
     digest = grown[-1][0].digest if grown else digests[0]
-    block = ARITY**LEVELS
-    columns = {"tree": [tree], "place": [place // block], "digest": [digest], "n": [-(-n // block)]}
-    return pa.table(columns, pa.schema([("tree", pa.string()), ("place", pa.int64()), ("digest", pa.string()), ("n", pa.int64())]))
+    many = ARITY**LEVELS
+    place //= many
+    made = {"tree": tree, "place": place, "digest": digest, "n": -(-n // many), "block": place // many}
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    return pa.table({name: pa.array([made[name]], kind) for name, kind in zip(made, kinds, strict=True)})
 
 
 def climb(nodes: DataFrame) -> list[DataFrame]:
     """``nodes`` (tree, place, digest, n: the nodes of the tree) and every eighth level above, to one node per tree."""
     passes = [nodes]
     while (passes[-1].agg(F.max("n")).first()[0] or 0) > 1:
-        rows = passes[-1].select("tree", "place", "digest", "n")
-        passes.append(stored(rows.groupBy("tree", _block().alias("block")).applyInArrow(_node, NODES), "nodes"))
+        rows = passes[-1].select("tree", "place", "digest", "n", "block")
+        passes.append(stored(rows.groupBy("tree", "block").applyInArrow(_node, NODES), "nodes"))
     return passes
 
 
@@ -191,23 +189,28 @@ def _proofs(group: pa.Table, above: pa.Table) -> pa.Table:
 
 def _with_above(rows: DataFrame, above: DataFrame):
     """Blocks of ``rows``, each beside the one row of ``above`` for the block's top."""
-    return rows.groupBy("tree", _block().alias("block")).cogroup(above.groupBy("tree", F.col("place").alias("block")))
+    return rows.groupBy("tree", "block").cogroup(above.groupBy("tree", F.col("place").alias("block")))
 
 
 def _descend(passes: list[DataFrame], above: DataFrame) -> DataFrame:
     """Paths of the nodes of the second pass, the tops of the leaves' blocks."""
     for nodes in reversed(passes[1:-1]):
-        rows = nodes.select("tree", "place", "digest", "n")
+        rows = nodes.select("tree", "place", "digest", "n", "block")
         above = stored(_with_above(rows, above).applyInArrow(_paths, PATHS), "paths")
     return above
 
 
 def placed(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` with ``place``, from 0 in ``order`` within ``tree``, and ``n``, the tree's rows."""
+    """``rows`` with ``place``, from 0 in ``order`` within ``tree``, ``block``, and ``n``, the tree's rows.
+
+    A tree's size meets its rows by blocks, so that a tree with most rows is no hot key.
+    """
+    many = ARITY**LEVELS
     found = positions_by_range(rows, ["tree"], order).withColumnRenamed("position", "place")
-    found = stored(found, "placed")
+    found = stored(found.withColumn("block", F.expr(f"place div {many}")), "placed")
     sizes = found.groupBy("tree").agg((F.max("place") + 1).alias("n"))
-    return found.join(sizes, "tree")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {many}"))).alias("block")
+    return found.join(sizes.select("tree", "n", blocks), ["tree", "block"])
 
 
 def manifest(docs: DataFrame, tampered: dict[str, Column] | None = None, where: Column | None = None) -> DataFrame:
@@ -236,13 +239,13 @@ def manifest(docs: DataFrame, tampered: dict[str, Column] | None = None, where:
     )
     paths = _descend(over, whole)
     if len(over) > 1:
-        rows = tops.select("tree", "place", "digest", "n")
+        rows = tops.select("tree", "place", "digest", "n", "block")
         paths = stored(_with_above(rows, paths).applyInArrow(_paths, PATHS), "paths")
     sources = tops.select("place", F.col("of"), F.col("digest").alias("subroot"))
     top = paths.drop("tree", "subroot").join(sources, "place")
     top = top.select(F.col("of").alias("tree"), F.lit(0).cast("long").alias("place"), "steps", "subroot", "root")
     top = stored(top, "paths")
-    rows = leaves.select("tree", "place", "digest", "n", "doc_id", "now")
+    rows = leaves.select("tree", "place", "digest", "n", "block", "doc_id", "now")
     return _with_above(rows, _descend(below, top)).applyInArrow(_proofs, PROOFS)
 
 
