@@ -54,32 +54,58 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = (2.0, 8.0)) -> DataFram
 
 
 def drawn(known: DataFrame, subsets: int = SUBSETS) -> DataFrame:
-    """One row: ``lexicon``, the sorted terms of ``known``, and ``lexicons``, its randomised subsets.
+    """(term, mask) of each term of ``known``: bit k says whether it is in the k-th randomised lexicon.
 
-    A term is in the k-th subset by a hash of k and the term, taken here once for all texts.
+    That is by a hash of k and the term, taken here once for all texts.
     """
 
-    def chosen(k: int):
+    def bit(k: int) -> Column:
         share = 1 << (LEAST_SHARE + k % SHARES)
-        return lambda term: F.pmod(F.xxhash64(F.lit(k), term), F.lit(share)) == 0
+        return F.when(F.pmod(F.xxhash64(F.lit(k), "term"), F.lit(share)) == 0, F.lit(1 << k)).otherwise(F.lit(0))
 
-    row = known.agg(F.sort_array(F.collect_set("term")).alias("lexicon"))
-    return row.withColumn("lexicons", F.array(*(F.filter("lexicon", chosen(k)) for k in range(subsets))))
+    mask = F.lit(0).cast("long")
+    for k in range(subsets):
+        mask = mask.bitwiseOR(bit(k).cast("long"))
+    return known.select("term", mask.alias("mask"))
 
 
-def hashed(rows: DataFrame, table: DataFrame, name: str, to: str) -> DataFrame:
-    """``rows`` with ``to``: a hash of column ``name`` for each row of lexicons in ``table``, null without a term.
+def looked_up(masks: DataFrame) -> Column:
+    """The table of ``masks`` as one value, ``buckets``: place pmod(term, size) holds the terms of that place.
 
-    The terms, and each lexicon's part of them, in steps of their own, as later steps ask for them
-    more than once. The constant side first: a set is then built of the text's terms only.
+    Terms in no randomised lexicon have no part in any hash and are not in it. The value is a
+    scalar subquery: tasks get it once, by the bound that the lexicon has, and rows do not carry it.
     """
-    rows = rows.crossJoin(F.broadcast(table))
-    rows = rows.withColumn("inside", F.array_intersect("lexicon", terms(F.col(name))))
-    parts = [F.array_intersect(F.col("lexicons")[k], F.col("inside")) for k in range(SUBSETS)]
-    rows = rows.withColumn("parts", F.array(*parts)).drop("lexicon", "lexicons", "inside")
-    part = [F.col("parts")[k] for k in range(SUBSETS)]
-    made = [F.when(F.size(p) > 0, F.xxhash64(p).bitwiseAND(F.lit(0xFFFFFFFF))) for p in part]
-    return rows.withColumn(to, F.array(*made)).drop("parts")
+    masks = stored(masks.where("mask <> 0"), "masks")
+    size = F.lit(max(1, masks.count())).cast("long")
+    full = masks.groupBy(F.pmod("term", size).alias("place")).agg(F.collect_list(F.struct("term", "mask")).alias("held"))
+    places = masks.sparkSession.range(max(1, masks.count())).select(F.col("id").alias("place"))
+    all_places = places.join(full, "place", "left")
+    held = F.sort_array(F.collect_list(F.struct("place", F.coalesce("held", F.expr("array()")).alias("held"))))
+    return stored(all_places.agg(F.transform(held, lambda p: p["held"]).alias("buckets")), "lexicon").scalar()
+
+
+def hashes_of(text: Column, buckets: Column) -> Column:
+    """A hash of the text's terms in each randomised lexicon, null without a term.
+
+    A term is looked up once, whatever the number of lexicons; their parts are told by the mask.
+    """
+
+    def found(term: Column) -> Column:
+        place = F.get(buckets, F.pmod(term, F.size(buckets).cast("long")).cast("int"))
+        return F.get(F.filter(place, lambda held: held["term"] == term), F.lit(0))
+
+    known = F.filter(F.transform(terms(text), found), lambda held: held.isNotNull())
+
+    def made(inside: Column, k: Column) -> Column:
+        # Sorted as the text's terms are.
+        part = F.filter(inside, lambda held: F.getbit(held["mask"], k) == 1)
+        return F.xxhash64(F.transform(part, lambda held: held["term"]))
+
+    # ``known`` is bound to a name by an array of one, so that it is made once and not for each lexicon.
+    each = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
+    digests = F.get(F.transform(F.array(known), lambda inside: F.transform(each, lambda k: made(inside, k))), F.lit(0))
+    nothing = F.xxhash64(F.expr("cast(array() AS array<bigint>)"))
+    return F.transform(digests, lambda d: F.when(d != nothing, d.bitwiseAND(F.lit(0xFFFFFFFF))))
 
 
 def shown(hashes: Column, text: Column) -> Column:
@@ -156,14 +182,17 @@ def fingerprint_edits(docs: DataFrame, known: list[int] | None = None) -> DataFr
     edited_fingerprint, near_edited, near_next. Null texts are empty.
     """
     found = lexicon(docs) if known is None else docs.sparkSession.createDataFrame([(k,) for k in known], "term long")
-    table = stored(drawn(found), "lexicon")
+    buckets = looked_up(drawn(found))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(
         F.substr(F.col("text"), F.lit(1), F.length("text") - half), F.substr(F.col("next.text"), F.lit(1), half)
     )
 
-    rows = with_next(docs, lambda rows: hashed(rows, table, "text", "h_text"), "h_text").withColumn("edited", edited)
-    rows = hashed(rows, table, "edited", "h_edited")
+    def hashed(rows: DataFrame, name: str, to: str) -> DataFrame:
+        return rows.withColumn("buckets", buckets).withColumn(to, hashes_of(F.col(name), F.col("buckets"))).drop("buckets")
+
+    rows = with_next(docs, lambda rows: hashed(rows, "text", "h_text"), "h_text").withColumn("edited", edited)
+    rows = hashed(rows, "edited", "h_edited")
     return rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),

@@ -124,24 +124,81 @@ def test_imatch_lexicons_are_drawn_apart(spark, documents):
     band = fingerprints.lexicon(documents(rows), (2.0, 8.0)).collect()
     assert len(band) == 512  # all terms that are neither everywhere nor in one text alone
     known = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 40_000).tolist()
-    table = fingerprints.drawn(spark.createDataFrame([(k,) for k in known], "term long")).first()
-    assert table["lexicon"] == sorted(known)
-    assert len(table["lexicons"]) == fingerprints.SUBSETS == 48
+    table = fingerprints.drawn(spark.createDataFrame([(k,) for k in known], "term long")).collect()
+    assert sorted(r["term"] for r in table) == sorted(known)
     shares = [1 / (1 << (fingerprints.LEAST_SHARE + k % fingerprints.SHARES)) for k in range(48)]
-    sets = [set(part) for part in table["lexicons"]]
+    sets = [{r["term"] for r in table if r["mask"] >> k & 1} for k in range(48)]
+    assert fingerprints.SUBSETS == 48 and not any(r["mask"] >> 48 for r in table)
+    assert all(abs(len(own) - 40_000 * share) <= 6 * (40_000 * share) ** 0.5 for own, share in zip(sets, shares, strict=True))
     for (a, p), (b, q) in combinations(list(zip(sets, shares, strict=True)), 2):
         mean = len(known) * p * q
         assert len(a & b) <= mean + 6 * mean**0.5 + 6
 
 
-def test_imatch_hashes_by_the_book(spark, documents):
-    rows = documents([(i, " ".join(f"w{j}" for j in range(i, i + 40)), "en", "a") for i in range(60)])
-    table = fingerprints.drawn(fingerprints.lexicon(rows, (0.5, 8.0)))
-    kept = [set(part) for part in table.first()["lexicons"]]
-    made = fingerprints.hashed(rows.withColumn("terms", fingerprints.terms(rows["text"])), table, "text", "h").collect()
-    assert any(h is not None for r in made for h in r["h"])
-    for r in made:
-        assert [h is not None for h in r["h"]] == [bool(part & set(r["terms"])) for part in kept]
+def xx64_of_longs(values, seed=42):
+    """XXH64 of each value in turn, the hash so far as the seed of the next."""
+    for value in values:
+        seed = xxhash.xxh64_intdigest((value & (1 << 64) - 1).to_bytes(8, "little"), seed)
+    return seed
+
+
+def signed(value):
+    return value - (1 << 64) if value >> 63 else value
+
+
+def plain_fingerprints(rows, band=(2.0, 8.0)):
+    """doc_id -> (fingerprint, edited_fingerprint, near_edited, near_next), a document at a time."""
+
+    def terms(text):
+        words = set(re.findall(r"[^\W_]+", text.lower()))
+        return sorted(signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words)
+
+    low, high = len(rows) / 2 ** band[1], len(rows) / 2 ** band[0]
+    df = {}
+    for _, text, *_ in rows:
+        for term in terms(text):
+            df[term] = df.get(term, 0) + 1
+    known = {term for term, n in df.items() if max(2.0, low) <= n <= high}
+    sets = [{t for t in known if signed(xx64_of_longs_int(k, t)) % (1 << (4 + k % 5)) == 0} for k in range(48)]
+
+    def hashes(text):
+        parts = [[t for t in terms(text) if t in own] for own in sets]
+        return [xx64_of_longs(part) & 0xFFFFFFFF if part else None for part in parts]
+
+    def shown(h, text):
+        whole = f"x{xxhash.xxh64_intdigest(text.encode(), 42):016x}"
+        return "".join(f"{x or 0:08x}" for x in h) if any(x is not None for x in h) else whole
+
+    def near(a, b, same):
+        told = [x == y for x, y in zip(a, b, strict=True) if x is not None or y is not None]
+        return sum(told) / len(told) if told else float(same)
+
+    made = {}
+    for (i, text, *_), (_, after, *_) in zip(rows, [*rows[1:], rows[0]], strict=True):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        own, other, following = hashes(text), hashes(edited), hashes(after)
+        made[i] = shown(own, text), shown(other, edited), near(own, other, text == edited), near(own, following, text == after)
+    return made
+
+
+def xx64_of_longs_int(k, term):
+    """XXH64 of a 32-bit number and then of a 64-bit one."""
+    first = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42)
+    return xx64_of_longs([term], first)
+
+
+def test_imatch_values_by_the_book(documents):
+    draw = np.random.default_rng(7)
+    rows = []
+    for i in range(200):
+        words = [f"w{min(int(x), 400)}" for x in draw.exponential(60, int(draw.integers(1, 120)))]
+        rows.append((i, "" if i % 50 == 7 else " ".join(words) + f" Own{i}, Ärger", "en", "a"))
+    rows += [(200 + i, rows[3 * i][1], "en", "a") for i in range(20)]
+    found = {r["doc_id"]: tuple(r)[3:] for r in fingerprints.fingerprint_edits(documents(rows)).collect()}
+    wanted = plain_fingerprints(rows)
+    assert found == wanted
+    assert sum(0 < r[2] < 1 for r in wanted.values()) > 20
 
 
 def test_hypergeometric_margins_and_mean():
