@@ -337,12 +337,20 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def learned(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> Model:
-    """A model from the labels that are not held out, at most ``max_rows`` of them."""
+    """A model from the labels that are not held out, at most ``max_rows`` of them.
+
+    At most as many texts are fitted: where ids are repeated, equal rows count once and the first texts
+    in an order of hashes are taken.
+    """
     known = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(max_rows)
     # Two numbers a row, and max_rows of them: small enough to send everywhere.
-    return fit(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    if rows.select("doc_id").count() > max_rows:  # ids are repeated
+        order = F.xxhash64(F.lit(3), "doc_id"), "doc_id", F.xxhash64("text"), "text"
+        rows = rows.dropDuplicates(["doc_id", "text"]).orderBy(*order).limit(max_rows)
+    return fit(rows)
 
 
 def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
