@@ -35,10 +35,15 @@ BUCKET_DOCS = 1024
 MOST_BUCKETS = 100_000
 
 
-def terms(text: Column) -> Column:
-    """Sorted distinct 64-bit hashes of the terms of ``text``."""
+def distinct_terms(text: Column) -> Column:
+    """Distinct 64-bit hashes of the terms of ``text``."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda word: word != "")
-    return F.sort_array(F.array_distinct(F.transform(words, lambda word: F.xxhash64(word))))
+    return F.array_distinct(F.transform(words, lambda word: F.xxhash64(word)))
+
+
+def terms(text: Column) -> Column:
+    """The same, sorted."""
+    return F.sort_array(distinct_terms(text))
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = (2.0, 8.0)) -> DataFrame:
@@ -48,7 +53,10 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = (2.0, 8.0)) -> DataFram
     the shuffle, so a frequent term is one row per task.
     """
     total = docs.count()
-    found = docs.select(F.explode(terms(text_of())).alias("term")).groupBy("term").count()
+    # The terms in a step of their own, as an explode evaluates its argument without generated code; outer, as
+    # a plain explode is given filters that make the terms anew to see whether there are any.
+    held = docs.select(distinct_terms(text_of()).alias("terms"))
+    found = held.select(F.explode_outer("terms").alias("term")).where("term IS NOT NULL").groupBy("term").count()
     low, high = (total / 2.0**edge for edge in reversed(band))
     return found.where(F.col("count").between(max(2.0, low), high)).select("term")
 
