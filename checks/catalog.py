@@ -193,8 +193,8 @@ def executed(spark: SparkSession, folder: str) -> DataFrame:
 def saved(spark: SparkSession, outcomes: DataFrame) -> str:
     """Outcomes written to result tables, as a service does; reports read those."""
     out = fresh_dir(spark, "results")
-    results.write_outcomes(outcomes, out, 0)
-    results.write_batch(spark, out, 0, last_processed_id=0, readings=0, as_of=None)
+    attempt = results.write_outcomes(outcomes, out, 0)
+    results.write_batch(spark, out, 0, attempt, last_processed_id=0, readings=0, as_of=None)
     return out
 
 

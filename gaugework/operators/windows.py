@@ -8,6 +8,7 @@ is on integers.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -187,6 +188,12 @@ def _numbers(
     ).filter(F.col("value").isNotNull())
 
 
+def usable_numbers(readings: DataFrame, formulas: FormulaSet, schedule: DataFrame) -> DataFrame:
+    """Usable readings of the formulas' nodes in the time that a schedule covers."""
+    low, high, _ = _extent(_spans(schedule))
+    return _numbers(readings, formulas, low, high)
+
+
 def _in_windows(formulas: FormulaSet, numbers: DataFrame, demand: DataFrame) -> DataFrame:
     """Readings with the end of each window they fall in.
 
@@ -293,7 +300,7 @@ def aligned_readings(
     low, high, _ = _extent(_spans(schedule))
     numbers = _numbers(readings, formulas, low, high)
     rows = _aligned(numbers, formulas, table, rows_per_task)
-    sizes = table.select("variable_id", F.size("nodes").alias("_nodes"))
+    sizes = formulas.table.select("variable_id", F.size("nodes").alias("_nodes"))
     whole = formulas.attach(rows, sizes, "variable_id").filter("_present = _nodes")
     return whole.select(
         "variable_id",
@@ -335,7 +342,7 @@ def _aggregate_aligned(
     formulas = formulas.of("many")
     many = _scheduled(formulas, schedule)
     rows = _aligned(numbers, formulas, many, rows_per_task)
-    detail = many.select(
+    detail = formulas.table.select(
         "variable_id", "shape_id", "constants", "compile_error", F.size("nodes").alias("_nodes")
     )
     rows = formulas.attach(rows, detail, "variable_id")
@@ -350,25 +357,48 @@ def _aggregate_aligned(
     )
 
 
-def _last_in_window(
-    numbers: DataFrame, formulas: FormulaSet, schedule: DataFrame
-) -> DataFrame:
+# Time and id as one number, which keeps the aggregation buffer fixed width.
+_BY_TIME = "cast(_at AS decimal(17)) * 20000000000000000000BD + cast(id AS decimal(19))"
+
+
+def newest_of_windows(rows: DataFrame) -> DataFrame:
+    """The last of ``rows`` (_at, id, value) of each node and window."""
+    order = F.expr(_BY_TIME)
+    return rows.groupBy("node_id", "_length", "_grid", "window_end").agg(
+        F.max_by("_at", order).alias("_at"), F.max_by("id", order).alias("id"), F.max_by("value", order).alias("value")
+    )
+
+
+def last_values(numbers: DataFrame, formulas: FormulaSet, schedule: DataFrame) -> DataFrame:
+    """The last usable reading of each node and window that a "last" formula asks for."""
+    formulas = formulas.of("last")
+    return newest_of_windows(_in_windows(formulas, numbers, _shared(_nodes(_scheduled(formulas, schedule)))))
+
+
+def window_totals(numbers: DataFrame, formulas: FormulaSet, schedule: DataFrame) -> DataFrame:
+    """Sum and count of each SUM or AVG over one node and each of its windows."""
+    return _totals(_aggregate_one_node(numbers, formulas, schedule))
+
+
+@dataclass(frozen=True)
+class Held:
+    """What windows hold so far: of aggregates over one node (variable_id, window_end, _sum, _count), of
+    nodes their last readings (node_id, _length, _grid, window_end, _at, id, value)."""
+
+    totals: DataFrame
+    lasts: DataFrame
+
+
+def _on_last_values(last: DataFrame, formulas: FormulaSet, schedule: DataFrame) -> DataFrame:
     """Outcomes of formulas without an outer aggregate, on each node's last value."""
     formulas = formulas.of("last")
-    plain = _scheduled(formulas, schedule)
-    nodes = _nodes(plain)
-    rows = _in_windows(formulas, numbers, _shared(nodes))
-    # Time and id as one number, which keeps the aggregation buffer fixed width.
-    order = F.expr("cast(_at AS decimal(17)) * 20000000000000000000BD + cast(id AS decimal(19))")
-    last = rows.groupBy("node_id", "_length", "_grid", "window_end").agg(
-        F.max_by("value", order).alias("value")
-    )
+    nodes = _nodes(_scheduled(formulas, schedule))
     each = _to_formulas(formulas, last, nodes)
     found = each.groupBy("variable_id", "window_end").agg(
         F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("_ops"),
         F.collect_list("node_id").alias("_present"),
     )
-    detail = plain.select("variable_id", "shape_id", "constants", "compile_error", "mentions")
+    detail = formulas.table.select("variable_id", "shape_id", "constants", "compile_error", "mentions")
     rows = formulas.attach(found, detail, "variable_id")
     missing = F.filter("mentions", lambda node: ~F.array_contains("_present", node))
     first = F.try_element_at("_ops", F.lit(0))
@@ -389,24 +419,27 @@ def evaluate_windows(
     formulas: FormulaSet | DataFrame,
     schedule: DataFrame,
     rows_per_task: int = ROWS_PER_TASK,
+    held: Held | None = None,
 ) -> DataFrame:
     """One outcome per windowed formula and window of its schedule.
 
     Returns (variable_id, window_start, window_end, result, error). A formula
     that is one SUM or AVG call aggregates its argument over the window's
     readings, skipping rows that fail; any other formula is evaluated once on
-    the last value of each node. Windows without data keep an error row.
+    the last value of each node. Windows without data keep an error row. With ``held``,
+    readings are scanned for aggregates over several nodes only.
     """
     formulas = as_formula_set(formulas).of("one", "many", "last")
     low, high, count = _extent(_spans(schedule))
     numbers = _numbers(readings, formulas, low, high)
     parts = []
     if "one" in formulas.kinds:
-        parts.append(_totals(_aggregate_one_node(numbers, formulas, schedule)))
+        parts.append(held.totals if held else window_totals(numbers, formulas, schedule))
     if "many" in formulas.kinds:
         parts.append(_totals(_aggregate_aligned(numbers, formulas, schedule, rows_per_task)))
     if "last" in formulas.kinds:
-        parts.append(_last_in_window(numbers, formulas, schedule))
+        last = held.lasts if held else last_values(numbers, formulas, schedule)
+        parts.append(_on_last_values(last, formulas, schedule))
     windows = _windows(
         _scheduled(formulas, schedule).select(
             "variable_id", "aggregate", "nodes", "_first", "_last", "_length"

@@ -27,7 +27,11 @@ STATE = (
 )
 
 # The log of batches: the state after each, and how many outcomes it has.
-BATCHES = STATE + ", successes bigint, failures bigint, batch_id bigint"
+COUNTED = STATE + ", successes bigint, failures bigint"
+BATCHES = COUNTED + ", batch_id bigint"
+
+# A line as it is written: the attempt it counts, and how many lines the batch had before.
+LINE = COUNTED + ", attempt string, turn int"
 
 LATEST = "node_id string, id bigint, value double"
 

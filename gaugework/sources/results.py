@@ -1,13 +1,17 @@
 """Result tables of a stream: executions, failures and the log of batches.
 
-A batch writes its outcomes in one go to ``outcomes/batch_id=N``, split by
-``failed``, and then its line of the log to ``batches/batch_id=N``. Readers see
-only batches with such a line. A batch that is run again overwrites its own
-folders, so a replay leaves no duplicates.
+Each attempt at a batch writes its outcomes in one go to a folder of its own,
+``outcomes/batch_id=N/attempt=A``, split by ``failed``, and then adds a line to the log in
+``batches/batch_id=N`` that names the attempt. That line is one file that appears at once. Of a
+batch's lines the newest counts, and readers see the attempts that those name and no others:
+a batch that is run again is read as it was until its new line is there, and as
+it is then, never in part. Folders of attempts that no line counts for are removed by
+:func:`remove_superseded`.
 """
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
@@ -33,16 +37,20 @@ def read_if_present(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def write_outcomes(outcomes: DataFrame, out_path: str, batch_id: int) -> None:
-    outcomes.withColumn("failed", F.col("error").isNotNull()).write.mode("overwrite").partitionBy(
-        "failed"
-    ).parquet(f"{out_path}/outcomes/batch_id={batch_id}")
+def write_outcomes(outcomes: DataFrame, out_path: str, batch_id: int) -> str:
+    """Outcomes of an attempt at a batch; the attempt's name, for its line of the log."""
+    attempt = uuid.uuid4().hex
+    outcomes.withColumn("failed", F.col("error").isNotNull()).write.partitionBy("failed").parquet(
+        f"{out_path}/outcomes/batch_id={batch_id}/attempt={attempt}"
+    )
+    return attempt
 
 
 def write_batch(
     spark: SparkSession,
     out_path: str,
     batch_id: int,
+    attempt: str,
     *,
     last_processed_id: int,
     readings: int,
@@ -54,7 +62,9 @@ def write_batch(
 
     Its outcomes are counted from the files just written, of which only the footers are read.
     """
-    path = f"{out_path}/outcomes/batch_id={batch_id}"
+    path = f"{out_path}/outcomes/batch_id={batch_id}/attempt={attempt}"
+    line = f"{out_path}/batches/batch_id={batch_id}"
+    before = read_if_present(spark, line, schemas.LINE).agg(F.max("turn")).first()[0]
     written = read_if_present(spark, path, OUTCOMES + ", failed boolean").groupBy("failed").count()
     count = {row.failed: row["count"] for row in written.collect()}
     spark.range(1).select(
@@ -65,25 +75,60 @@ def write_batch(
         F.lit(readings).cast("long").alias("readings"),
         F.lit(count.get(False, 0)).cast("long").alias("successes"),
         F.lit(count.get(True, 0)).cast("long").alias("failures"),
-    ).coalesce(1).write.mode("overwrite").parquet(f"{out_path}/batches/batch_id={batch_id}")
+        F.lit(attempt).alias("attempt"),
+        F.lit(0 if before is None else before + 1).alias("turn"),
+    ).coalesce(1).write.mode("append").parquet(line)
+
+
+def log_lines(spark: SparkSession, out_path: str) -> DataFrame:
+    """The newest line of each committed batch, with the attempt it names."""
+    lines = read_if_present(spark, f"{out_path}/batches", schemas.LINE + ", batch_id bigint")
+    values = [name for name in lines.columns if name not in ("batch_id", "turn")]
+    newest = lines.groupBy("batch_id").agg(F.max_by(F.struct(*values), "turn").alias("line"))
+    return newest.select("line.*", "batch_id")
 
 
 def batches(spark: SparkSession, out_path: str) -> DataFrame:
     """One row per committed batch: counts, high-water mark and clock."""
-    return read_if_present(spark, f"{out_path}/batches", schemas.BATCHES)
+    return log_lines(spark, out_path).drop("attempt")
 
 
-def _committed(spark: SparkSession, out_path: str) -> DataFrame:
-    last = batches(spark, out_path).agg(F.max("batch_id")).first()[0]
-    table = read_if_present(
-        spark, f"{out_path}/outcomes", OUTCOMES + ", batch_id bigint, failed boolean"
+def _outcomes(spark: SparkSession, out_path: str) -> DataFrame:
+    return read_if_present(
+        spark, f"{out_path}/outcomes", OUTCOMES + ", batch_id bigint, attempt string, failed boolean"
     )
-    return table.filter(F.col("batch_id") <= F.lit(-1 if last is None else last))
 
 
-def executions(spark: SparkSession, out_path: str) -> DataFrame:
-    """Successful evaluations of all committed batches."""
-    return _committed(spark, out_path).filter(~F.col("failed")).select(
+def _committed(spark: SparkSession, out_path: str, since: int = 0) -> DataFrame:
+    """Outcomes of the attempts that count, of batches from ``since`` on."""
+    last = batches(spark, out_path).agg(F.max("batch_id")).first()[0]
+    there = F.col("batch_id").between(since, F.lit(-1 if last is None else last))
+    counted = log_lines(spark, out_path).filter(there).select("batch_id", "attempt")
+    return _outcomes(spark, out_path).filter(there).join(counted, ["batch_id", "attempt"], "left_semi")
+
+
+def remove_superseded(spark: SparkSession, out_path: str) -> int:
+    """Remove the folders of attempts that no line counts for; how many there were.
+
+    Not while a batch runs, as its attempt has no line yet, nor while older reads go on.
+    """
+    counted = log_lines(spark, out_path).select("batch_id", "attempt")
+    folders = _outcomes(spark, out_path).select("batch_id", "attempt").distinct()
+    gone = folders.join(counted, ["batch_id", "attempt"], "left_anti").collect()
+    for row in gone:
+        remove(spark, f"{out_path}/outcomes/batch_id={row.batch_id}/attempt={row.attempt}")
+    return len(gone)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def executions(spark: SparkSession, out_path: str, since: int = 0) -> DataFrame:
+    """Successful evaluations of all committed batches, from ``since`` on."""
+    return _committed(spark, out_path, since).filter(~F.col("failed")).select(
         "variable_id",
         "tag_id",
         "result",
@@ -109,7 +154,7 @@ def newest_executions(spark: SparkSession, out_path: str, limit: int) -> DataFra
         first, total = row.batch_id, total + row.successes
         if total >= limit:
             break
-    return executions(spark, out_path).filter(F.col("batch_id") >= first)
+    return executions(spark, out_path, first)
 
 
 def as_failures(outcomes: DataFrame) -> DataFrame:

@@ -5,9 +5,12 @@ All state is in tables below ``out_path``, keyed by batch:
 * ``start``: the id after which this service started, written once;
 * ``run``: the checkpoint that numbers its batches. With another one they would be
   numbered anew and hide or repeat those that are there, so it is refused;
-* ``latest/slot=N``, ``deadlines/slot=N``: the snapshot and the window deadlines
-  after a batch, in three slots used in turn. A batch reads the slot of the
-  batch before and writes its own, so running it again gives the same state;
+* ``latest``: the latest value of each node, see :mod:`gaugework.streaming.latest_runs`;
+* ``deadlines/slot=N``: the window deadlines after a batch, in three slots used in turn. A
+  batch reads the slot of the batch before and writes its own, so running it again
+  gives the same state;
+* ``open``: what the windows that have not fired hold so far, see
+  :mod:`gaugework.streaming.open_windows`;
 * ``outcomes`` and ``batches``: see :mod:`gaugework.sources.results`.
 """
 
@@ -27,6 +30,7 @@ from gaugework.operators.continuous import evaluate
 from gaugework.operators.formulas import FormulaSet, read_formulas
 from gaugework.operators.latest import latest_state
 from gaugework.operators.windows import (
+    Held,
     due_windows,
     evaluate_windows,
     replay_schedule,
@@ -40,6 +44,8 @@ from gaugework.sources.results import (
     write_batch,
     write_outcomes,
 )
+from gaugework.streaming import open_windows
+from gaugework.streaming.latest_runs import LatestRuns
 
 SLOTS = 3
 
@@ -55,6 +61,7 @@ class _Service:
     delay: timedelta
     windows: str
     service_name: str
+    open_windows: str = "history"
     _formulas: FormulaSet | None = field(default=None, repr=False)
     _read_at: float = 0.0
 
@@ -93,23 +100,19 @@ class _Service:
         as_of = self._as_of(now, seen.clock, before[1])
         formulas = self.formulas()
 
-        merged = (
-            self.slot("latest", batch_id - 1, schemas.LATEST)
-            .unionByName(latest_state(readings))
-            .groupBy("node_id")
-            .agg(F.max("id").alias("id"), F.max_by("value", "id").alias("value"))
-        )
-        latest = self.keep("latest", batch_id, merged, schemas.LATEST)
-        made = evaluate(readings, formulas, latest.filter("value is not null"))
-        windowed = self._windows(formulas, batch_id, as_of)
+        runs = LatestRuns(self.spark, f"{self.out_path}/latest")
+        runs.add(batch_id, latest_state(readings))
+        high = max(value for value in (seen.last_id, before[0], 0) if value is not None)
+        made = evaluate(readings, formulas, runs.after(batch_id).filter("value is not null"))
+        windowed = self._windows(formulas, batch_id, as_of, readings, high)
         outcomes = all_executions(made, windowed, now)
-        write_outcomes(outcomes, self.out_path, batch_id)
+        attempt = write_outcomes(outcomes, self.out_path, batch_id)
 
-        high = max(value for value in (seen.last_id, before[0], 0) if value is not None)
         write_batch(
             self.spark,
             self.out_path,
             batch_id,
+            attempt,
             last_processed_id=high,
             readings=seen.readings,
             as_of=as_of,
@@ -136,7 +139,9 @@ class _Service:
             newest -= int(self.delay.total_seconds() * 1_000_000)
         return max((value for value in (newest, before) if value is not None), default=None)
 
-    def _windows(self, formulas: FormulaSet, batch_id: int, as_of: int | None) -> DataFrame:
+    def _windows(
+        self, formulas: FormulaSet, batch_id: int, as_of: int | None, readings: DataFrame, high: int
+    ) -> DataFrame:
         """Outcomes of the windows that are due, and the next deadlines."""
         deadlines = self.slot("deadlines", batch_id - 1, schemas.DEADLINES)
         kept = deadlines.select("variable_id", F.col("time_interval").alias("_deadline"))
@@ -161,9 +166,52 @@ class _Service:
             following = deadlines
             schedule = schedule.filter("false")
         self.require_history(formulas)
-        self.keep("deadlines", batch_id, following, schemas.DEADLINES)
-        history = self.read_history() if self.read_history else self.spark.createDataFrame([], schemas.READINGS)
-        return evaluate_windows(history, formulas, schedule)
+        following = self.keep("deadlines", batch_id, following, schemas.DEADLINES)
+        held = None
+        if self.open_windows == "state":
+            held = self._held(formulas, batch_id, as_of, due, following, readings, high)
+        # With the state of open windows at hand, only aggregates over several nodes read the history.
+        if self.read_history and (held is None or "many" in formulas.kinds):
+            history = self.read_history()
+        else:
+            history = self.spark.createDataFrame([], schemas.READINGS)
+        return evaluate_windows(history, formulas, schedule, held=held)
+
+    def _held(
+        self,
+        formulas: FormulaSet,
+        batch_id: int,
+        as_of: int | None,
+        due: DataFrame,
+        following: DataFrame,
+        readings: DataFrame,
+        high: int,
+    ) -> Held:
+        """What open windows hold after this batch, kept for the next."""
+        before = Held(
+            self.slot("open_totals", batch_id - 1, open_windows.TOTALS),
+            self.slot("open_lasts", batch_id - 1, open_windows.LASTS),
+        )
+        marks_before = self.slot("open_marks", batch_id - 1, open_windows.MARKS)
+        if as_of is None:
+            after, marks_after = before, marks_before
+        else:
+            # A deadline that is passed over, and one never set, start anew from the next one.
+            anew = F.col("action").isin("init", "stale" if self.windows == "tick" else "init")
+            opened = due.join(formulas.table.select("variable_id", "time_interval"), "variable_id").select(
+                "variable_id",
+                F.unix_micros(F.when(anew, F.col("next_deadline")).otherwise(F.col("time_interval"))).alias("open_from"),
+            )
+            now = open_windows.marks(formulas, opened)
+            after = open_windows.merged(before, marks_before, now, formulas, readings, self.read_history, high)
+            upcoming = following.select("variable_id", F.unix_micros("time_interval").alias("open_from"))
+            marks_after = open_windows.marks(formulas, upcoming).drop("minutes")
+        held = Held(
+            self.keep("open_totals", batch_id, after.totals, open_windows.TOTALS),
+            self.keep("open_lasts", batch_id, after.lasts, open_windows.LASTS),
+        )
+        self.keep("open_marks", batch_id, marks_after, open_windows.MARKS)
+        return held
 
     def require_history(self, formulas: FormulaSet) -> None:
         """Without readings to fill them, windows would be lost as deadlines move on."""
@@ -185,6 +233,7 @@ def start_stream(
     windows: str = "tick",
     poll: str | None = None,
     tick_every: timedelta | None = None,
+    open_windows: str = "history",
     service_name: str = "gaugework",
 ) -> StreamingQuery:
     """Evaluate formulas over a stream of readings, batch by batch.
@@ -198,7 +247,10 @@ def start_stream(
     ``clock`` says when windows are due: "wall" by the time of day, "event" by
     the newest ``created_on`` seen, less ``delay``. ``windows`` is "tick" for at
     most one window per formula and batch, stale ones dropped, or "replay" for
-    all windows since the last deadline.
+    all windows since the last deadline. ``open_windows`` is where a window's readings come from when it
+    fires: "history" reads them again from the table of all readings, "state" keeps what
+    the stream has processed of each window, and reads no history but once for formulas that are
+    new, changed or anchored anew, and for aggregates over several nodes.
 
     Without ``poll`` the stream ends when the source is drained, else it looks
     for new readings that often ("1 second"). A stream runs no batch without
@@ -206,6 +258,8 @@ def start_stream(
     """
     if clock not in ("wall", "event") or windows not in ("tick", "replay"):
         raise ValueError("clock is 'wall' or 'event', windows is 'tick' or 'replay'")
+    if open_windows not in ("history", "state"):
+        raise ValueError("open_windows is 'history' or 'state'")
     spark = readings.sparkSession
     service = _Service(
         spark=spark,
@@ -217,6 +271,7 @@ def start_stream(
         delay=delay,
         windows=windows,
         service_name=service_name,
+        open_windows=open_windows,
     )
     _bind(service, checkpoint)
     offset = _first_offset(service, start)
@@ -250,19 +305,21 @@ def rerun_batch(
     clock: str = "wall",
     delay: timedelta = timedelta(0),
     windows: str = "tick",
+    open_windows: str = "history",
     service_name: str = "gaugework",
 ) -> None:
     """Run the last batch of a stopped service once more, over the same readings.
 
-    Its folders are replaced, so its results stay single; an earlier batch cannot be
-    run again, as the state that it started from is gone.
+    Its outcomes are read as they were until the new ones are whole, see
+    :mod:`gaugework.sources.results`; an earlier batch cannot be run again, as the state
+    that it started from is gone.
     """
     spark, out_path = readings.sparkSession, out_path.rstrip("/")
     last = batches(spark, out_path).agg(F.max("batch_id")).first()[0]
     if last is not None and batch_id not in (last, last + 1):
         raise ValueError(f"the last batch is {last}")
     _Service(
-        spark, out_path, read_variables, read_history, 0.0, clock, delay, windows, service_name
+        spark, out_path, read_variables, read_history, 0.0, clock, delay, windows, service_name, open_windows
     ).run(readings, batch_id)
 
 
@@ -278,7 +335,8 @@ def _bind(service: _Service, checkpoint: str) -> None:
 
 def latest_state_table(spark: SparkSession, out_path: str) -> DataFrame:
     """(node_id, id, value): the latest value of each node after the last committed batch."""
-    return _after_last_batch(spark, out_path, "latest", schemas.LATEST)
+    last = batches(spark, out_path).agg(F.max("batch_id")).first()[0]
+    return LatestRuns(spark, f"{out_path}/latest").after(-1 if last is None else last)
 
 
 def deadlines(spark: SparkSession, out_path: str) -> DataFrame:
@@ -312,7 +370,7 @@ def _first_offset(service: _Service, start: str | int) -> int:
         offset = -(2**63) if start == "earliest" else int(start)
     if history is not None and start != "earliest":
         known = latest_state(history.filter(F.col("id") <= offset))
-        service.keep("latest", -1, known, schemas.LATEST)
+        LatestRuns(spark, f"{service.out_path}/latest").start(known)
     spark.range(1).select(
         F.lit(service.service_name).alias("service_name"),
         F.lit(offset).cast("long").alias("last_processed_id"),

@@ -96,7 +96,7 @@ def test_stream_is_batch_and_survives_restart_and_replay(spark, plant, readings_
     service = _Service(spark, plant.out, lambda: variables, None, 30, "event", timedelta(0), "tick", "gaugework")
     service.run(readings_of(batch_rows(2)), 2)
     assert plant.outcomes() == whole
-    last = spark.read.schema(schemas.LATEST).parquet(f"{plant.out}/latest/slot=2")
+    last = gw.latest_state_table(spark, plant.out)
     assert sorted(last.collect()) == sorted(latest_state(plant.history()).collect())
     marks = results.batches(spark, plant.out).orderBy("batch_id").collect()
     assert [(row.last_processed_id, row.readings) for row in marks] == [(20, 20), (40, 20), (60, 20)]
