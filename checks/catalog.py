@@ -374,6 +374,102 @@ def stream_formula_refresh(spark: SparkSession, folder: str) -> DataFrame:
     return _streamed(spark, drained(spark, folder, variables, refresh_seconds=0))
 
 
+def stream_window_state(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``stream_ticks``, windows firing from what the stream has kept of them."""
+    out = drained(
+        spark,
+        folder,
+        lambda out: fixtures.TICKED,
+        windows="tick",
+        read_history=lambda: readings(spark, folder),
+        open_windows="state",
+    )
+    return _windows_of(spark, out)
+
+
+def stream_window_replay(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``stream_windowed``, with the state of open windows."""
+    out = drained(
+        spark,
+        folder,
+        lambda out: fixtures.windowed("W1", "W2", "W3", "W5", "W6"),
+        windows="replay",
+        read_history=lambda: readings(spark, folder),
+        open_windows="state",
+    )
+    return _windows_of(spark, out)
+
+
+def stream_bounded(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of a stream in order of ids, of just over a quarter of all rows at most."""
+    table = events(spark, folder)
+    out, size = fresh_dir(spark, "stream"), table.count() // BATCHES + 7
+    source = gw.stream_by_id(spark, f"{folder}/events.parquet", table.schema, size, id_column="event_id")
+    query = gw.start_stream(
+        as_readings(source),
+        lambda: fixtures.table(spark, fixtures.CONTINUOUS),
+        out,
+        f"{out}/checkpoint",
+        start="earliest",
+        clock="event",
+        poll="0 seconds",
+    )
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    made = results.executions(spark, out).groupBy("batch_id").agg(F.count("*").alias("successes"))
+    log = results.batches(spark, out).select("batch_id", "readings", "last_processed_id")
+    return log.join(made, "batch_id", "left")
+
+
+def delayed(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings of which every seventh comes after all others, with an id to match."""
+    rows = readings(spark, folder)
+    size = rows.agg(F.max("id")).first()[0] + 1
+    return rows.withColumn("id", F.when(F.col("id") % 7 == 0, F.col("id") + size).otherwise(F.col("id")))
+
+
+def delayed_stream(spark: SparkSession, folder: str) -> str:
+    """A stream over them in two batches of readings in time and two of late ones."""
+    rows = delayed(spark, folder)
+    size = readings(spark, folder).agg(F.max("id")).first()[0] + 1
+    path, out = fresh_dir(spark, "delayed"), fresh_dir(spark, "stream")
+    for at in range(BATCHES):
+        part = F.expr(f"id * {BATCHES} div {2 * size}") == at
+        rows.where(part).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.02)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    query = gw.start_stream(
+        stream,
+        lambda: fixtures.table(spark, fixtures.LATE),
+        out,
+        f"{out}/checkpoint",
+        start="earliest",
+        clock="event",
+        windows="replay",
+        read_history=lambda: rows,
+        open_windows="state",
+    )
+    query.awaitTermination()
+    return out
+
+
+def late_readings(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings that no fired window has counted."""
+    formulas = fixtures.table(spark, fixtures.LATE)
+    late = gw.late_readings(spark, delayed_stream(spark, folder), delayed(spark, folder), formulas)
+    return with_text_times(late, "window_start", "window_end")
+
+
+def late_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows with late readings as they fired and as they are with them."""
+    formulas = fixtures.table(spark, fixtures.LATE)
+    made = gw.corrected_windows(spark, delayed_stream(spark, folder), delayed(spark, folder), formulas)
+    made = rounded(rounded(made), "fired_result")
+    return with_text_times(made, "window_start", "window_end")
+
+
 QUERIES: dict[str, Query] = {
     "incremental_scan": incremental_scan,
     "start_offset": start_offset,
@@ -415,4 +511,9 @@ QUERIES: dict[str, Query] = {
     "stream_executions_newest": stream_executions_newest,
     "stream_ticks": stream_ticks,
     "stream_deadlines": stream_deadlines,
+    "stream_window_state": stream_window_state,
+    "stream_window_replay": stream_window_replay,
+    "stream_bounded": stream_bounded,
+    "late_readings": late_readings,
+    "late_windows": late_windows,
 }

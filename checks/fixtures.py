@@ -399,6 +399,11 @@ TICKED = [
     Variable(23, "T3", "SUM({error})", minutes=10_080),
     Variable(24, "T4", "SUM({click})", minutes=10_080, anchor="2030-01-01 00:00:00"),
 ]
+#: Windows whose readings come late, each over one node.
+LATE = [
+    Variable(31, "L1", "SUM({click})", minutes=10_080, anchor="2024-01-05 00:00:00"),
+    Variable(32, "L2", "SUM({view})", minutes=7_200, anchor="2024-01-04 06:00:00"),
+]
 REPLACED = [
     Variable(1, "V1", "{click} * 0.002", value="click * 0.002::DOUBLE"),
     Variable(9, "V9", "{view} + 1", value="view + 1"),

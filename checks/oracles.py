@@ -290,6 +290,31 @@ ticks AS (
         FROM ticks t JOIN clock c ON c.part = t.part + 1))"""
 
 
+def delayed() -> str:
+    """``late``: readings of fired windows that came after the batch in which these fired; ``inside``: all of them."""
+    rows = ", ".join(
+        f"({v.id}::BIGINT, '{v.nodes[0]}', INTERVAL '{v.minutes}' MINUTE, TIMESTAMP '{v.anchor}')" for v in fixtures.LATE
+    )
+    return f"""WITH {READINGS},
+sized AS (SELECT *, max(id) OVER () + 1 AS size FROM readings),
+moved AS (SELECT * EXCLUDE (id), CASE WHEN id % 7 = 0 THEN id + size ELSE id END AS id FROM sized),
+parts AS (SELECT *, id * {PARTS} // (2 * size) AS part FROM moved),
+clock AS (
+    SELECT part, max(max(ts)) OVER (ORDER BY part) AS now, max(max(id)) OVER (ORDER BY part) AS high_id
+    FROM parts GROUP BY part),
+formulas(variable_id, short, len, anchor) AS (VALUES {rows}),
+ends AS (
+    SELECT variable_id, short, len, unnest(generate_series(anchor, (SELECT max(now) FROM clock)::TIMESTAMP, len)) AS window_end
+    FROM formulas),
+fired AS (
+    SELECT e.variable_id, e.short, e.len, e.window_end, min(c.high_id) AS high_id
+    FROM ends e JOIN clock c ON c.now >= e.window_end GROUP BY ALL),
+inside AS (
+    SELECT f.variable_id, r.node_id, f.window_end - f.len AS window_start, f.window_end, r.id, r.value, f.high_id
+    FROM fired f JOIN moved r ON r.short = f.short AND r.ts BETWEEN f.window_end - f.len AND f.window_end),
+late AS (SELECT * FROM inside WHERE id > high_id)"""
+
+
 ACTIVE = f"""WITH {CUSTOMER_VARIABLES}
 SELECT variable_id, pre_save_formula AS formula,
     CASE WHEN formula_type IS NULL OR formula_type = '' THEN 'SINGLE' ELSE formula_type END AS formula_type,
@@ -415,4 +440,23 @@ FROM ticks t JOIN readings r ON r.short = t.short AND r.ts BETWEEN t.window_end
 GROUP BY t.variable_id, t.window_end""",
     "stream_deadlines": f"""{ticks()}
 SELECT variable_id, {stamp("next")} AS time_interval FROM ticks WHERE part = {PARTS - 1}""",
+    "stream_bounded": f"""WITH {READINGS},
+numbered AS (
+    SELECT *, (row_number() OVER (ORDER BY id) - 1) // (count(*) OVER () // {PARTS} + 7) AS part FROM readings),
+snap AS (SELECT p.part, {LATEST_OF} FROM (SELECT DISTINCT part FROM numbered) p JOIN numbered r ON r.part <= p.part GROUP BY p.part),
+t AS (SELECT r.id, r.short, r.ts, r.part, {OWN_OR_LATEST} FROM numbered r JOIN snap s ON s.part = r.part),
+made AS (SELECT part, count(*) AS successes FROM ({outcomes(fixtures.CONTINUOUS, "part, id AS tag_id")}) WHERE error IS NULL GROUP BY part)
+SELECT n.part AS batch_id, count(*) AS readings, max(n.id) AS last_processed_id, any_value(m.successes) AS successes
+FROM numbered n LEFT JOIN made m ON m.part = n.part GROUP BY n.part""",
+    "late_readings": f"""{delayed()}
+SELECT variable_id, node_id, {stamp("window_start")} AS window_start, {stamp("window_end")} AS window_end, id, value, high_id
+FROM late""",
+    "late_windows": f"""{delayed()}
+SELECT variable_id, {stamp("window_start")} AS window_start, {stamp("window_end")} AS window_end,
+    round(sum(value), 8) AS result, NULL::VARCHAR AS error,
+    round(sum(value) FILTER (WHERE id <= high_id), 8) AS fired_result, NULL::VARCHAR AS fired_error,
+    count(*) FILTER (WHERE id > high_id) AS late
+FROM inside GROUP BY variable_id, window_start, window_end HAVING count(*) FILTER (WHERE id > high_id) > 0""",
 }
+ORACLES["stream_window_state"] = ORACLES["stream_ticks"]
+ORACLES["stream_window_replay"] = ORACLES["stream_windowed"]

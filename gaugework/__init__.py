@@ -22,6 +22,7 @@ from gaugework.plans.reports import (
     split_outcomes,
     with_text_times,
 )
+from gaugework.sources.id_stream import stream_by_id
 from gaugework.sources.readings import new_readings, start_offset
 from gaugework.sources.results import executions, failures, newest_executions, service_stats
 from gaugework.sources.variables import (
@@ -30,14 +31,23 @@ from gaugework.sources.variables import (
     formula_list,
     formula_nodes,
 )
-from gaugework.streaming.service import deadlines, latest_state_table, start_stream
+from gaugework.streaming.late import corrected_windows, fired_windows, late_counts, late_readings
+from gaugework.streaming.service import (
+    batch_readings,
+    deadlines,
+    latest_state_table,
+    rerun_batch,
+    start_stream,
+)
 
 __all__ = [
     "FormulaSet",
     "active_formulas",
     "aligned_readings",
     "all_executions",
+    "batch_readings",
     "batch_stats",
+    "corrected_windows",
     "deadlines",
     "due_windows",
     "evaluate",
@@ -47,9 +57,12 @@ __all__ = [
     "executions_latest",
     "executions_summary",
     "failures",
+    "fired_windows",
     "formula_counts",
     "formula_list",
     "formula_nodes",
+    "late_counts",
+    "late_readings",
     "latest_state_table",
     "latest_values",
     "new_readings",
@@ -58,10 +71,12 @@ __all__ = [
     "raw_data_stats",
     "read_formulas",
     "replay_schedule",
+    "rerun_batch",
     "service_stats",
     "split_outcomes",
     "start_offset",
     "start_stream",
+    "stream_by_id",
     "tick_schedule",
     "window_readings",
     "window_schedule",

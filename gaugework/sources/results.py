@@ -107,6 +107,12 @@ def _committed(spark: SparkSession, out_path: str, since: int = 0) -> DataFrame:
     return _outcomes(spark, out_path).filter(there).join(counted, ["batch_id", "attempt"], "left_semi")
 
 
+def fired_outcomes(spark: SparkSession, out_path: str) -> DataFrame:
+    """(variable_id, window_end, result, error, batch_id) of every window of the committed batches."""
+    windows = _committed(spark, out_path).filter(F.col("window_end").isNotNull())
+    return windows.select("variable_id", "window_end", "result", "error", "batch_id")
+
+
 def remove_superseded(spark: SparkSession, out_path: str) -> int:
     """Remove the folders of attempts that no line counts for; how many there were.
 

@@ -323,6 +323,17 @@ def rerun_batch(
     ).run(readings, batch_id)
 
 
+def batch_readings(spark: SparkSession, out_path: str, readings: DataFrame, batch_id: int) -> DataFrame:
+    """The readings of a committed batch of a stream in order of ids, by the range of ids that the log gives it."""
+    upto = {row.batch_id: row.last_processed_id for row in batches(spark, out_path).filter(
+        F.col("batch_id").isin(batch_id - 1, batch_id)
+    ).collect()}
+    if batch_id not in upto:
+        raise ValueError(f"batch {batch_id} is not committed")
+    first = read_if_present(spark, f"{out_path}/start", schemas.STATE).first().last_processed_id
+    return readings.filter((F.col("id") > upto.get(batch_id - 1, first)) & (F.col("id") <= upto[batch_id]))
+
+
 def _bind(service: _Service, checkpoint: str) -> None:
     """Tie ``out_path`` to the checkpoint of its first start."""
     path, checkpoint = f"{service.out_path}/run", checkpoint.rstrip("/")
