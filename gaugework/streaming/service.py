@@ -371,7 +371,7 @@ def _first_offset(service: _Service, start: str | int) -> int:
     stored = read_if_present(spark, path, schemas.STATE).first()
     if stored is not None:
         return stored.last_processed_id
-    history = service.read_history() if service.read_history else None
+    history = service.read_history() if service.read_history and start != "earliest" else None
     if start == "latest":
         if history is None:
             raise ValueError("start='latest' needs read_history")
@@ -379,7 +379,7 @@ def _first_offset(service: _Service, start: str | int) -> int:
         offset = start_offset(state, history, service.service_name).first()[0]
     else:
         offset = -(2**63) if start == "earliest" else int(start)
-    if history is not None and start != "earliest":
+    if history is not None:
         known = latest_state(history.filter(F.col("id") <= offset))
         LatestRuns(spark, f"{service.out_path}/latest").start(known)
     spark.range(1).select(
