@@ -130,4 +130,5 @@ def pack(
         .select(PACKED_NAMES)
     )
     left = placed.where(~inside).select(pieces.columns).groupBy(F.lit("left")).applyInArrow(_first_fit(capacity), PACKED)
-    return packed.unionByName(left.withColumn("sequence_id", F.col("sequence_id") + F.lit(tail)))
+    whole = packed.unionByName(left.withColumn("sequence_id", F.col("sequence_id") + F.lit(tail)))
+    return whole.withColumns({name: F.col(name).cast("long") for name in ("length", "offset")})
