@@ -191,3 +191,14 @@ def test_secrets_deep_in_a_long_candidate(tail):
         text = f"see {run} for 1234567890abcdefg"
         seen = [dict(zip(("start", "end", "known", "window"), c, strict=True)) for c in secrets.candidates(text, [])]
         assert secrets.all_spans([], seen, network) == [(4, 4 + len(run), "network")]
+
+
+def test_the_bound_on_fitted_rows_holds_for_repeated_ids(spark, documents, monkeypatch):
+    rows = [(i % 3 * 10 + 1, f"you are a text number {i // 2}", "en", "a") for i in range(120)]
+    labels = spark.createDataFrame([(i * 10 + 1, i % 2) for i in range(3)], "doc_id long, toxic int")
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit", lambda df: fitted.append(df.count()))
+    monkeypatch.setattr(toxicity, "held_out", lambda: toxicity.F.lit(False))
+    toxicity.learned(documents(rows), labels, max_rows=4)
+    toxicity.learned(documents(rows), labels, max_rows=1000)
+    assert fitted == [4, 120]
