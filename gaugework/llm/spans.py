@@ -1,14 +1,18 @@
 """Substring dedup over sliding spans of sentences.
 
-A text is cut into sentences at ends of lines and after ``.``, ``!``, ``?``; a sentence of
-more than ``PART`` words is cut after each PART-th. From each sentence runs the
+A text is cut into sentences at ends of lines, after ``.``, ``!``, ``?`` before white space and
+after the full stops of scripts that use no spaces. A sentence of more than ``PART`` words is cut
+where its words say so: after each word whose hash is a multiple of ``EVERY``, or after ``PART``
+words without one. The cuts of a passage are the same wherever it stands in a sentence, but for
+its first and last few words. Words of more than ``LONG`` characters, as in scripts without
+spaces, are cut likewise by pairs of characters. From each sentence runs the
 shortest span of at least ``SENTENCES`` sentences and ``WORDS`` words; its hash is taken over
 the lower-cased words, so spacing and capitals do not matter. Spans are joined over the whole
 table by their hashes. The first span of a hash, by doc_id and place, stays; every
 sentence that another one covers is removed, so the first document that has a passage keeps it.
 
-Hashes are counted with partial counts before any join, only repeated ones are joined
-back, and a frequent one has one row on its side of the join, so its other side can
+Hashes alone are counted, with partial counts, before any join; what has a repeated one is
+written once, and a frequent one has one row on its side of the joins, so their other side can
 be split over tasks.
 
 Null texts are empty and have no span. A null doc_id comes first. Rows that share a
@@ -18,6 +22,7 @@ doc_id are told apart by the hash of their text; rows equal in both get the same
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,68 +37,114 @@ from gaugework.session import stored
 SENTENCES = 3
 WORDS = 10
 PART = 12
+#: One word in so many, by its hash, ends a part of a long sentence.
+EVERY = 4
+#: A word of more characters is cut after one pair of characters in so many, and after so many without one.
+LONG, LONG_EVERY, LONG_PART = 40, 12, 60
+#: Characters of other alphabets than ASCII that count as one word.
+CHARACTERS = 6
 
 #: Where a sentence ends, with the white space after it.
-END = re.compile(r"[.!?]+(?=\s)\s*|\s*\n\s*|\Z")
-PIECE = re.compile(rf"(?:\S+\s*){{1,{PART}}}")
-
-
-def sentences(text: str) -> list[str]:
+END = re.compile(r"[.!?\u2026\u0964\u061f\u06d4]+(?=\s)\s*|[\u3002\uff01\uff1f]+\s*|\s*\n\s*|\Z")
+WORD = re.compile(r"\S+\s*")
+
+
+def _every(part: str, n: int) -> bool:
+    return zlib.crc32(part.lower().encode("utf-8", "surrogatepass")) % n == 0
+
+
+def _cuts_of_word(word: str) -> Iterator[int]:
+    """Places after some pairs of a long word's characters."""
+    last = 0
+    for at in range(2, len(word)):
+        if at - last == LONG_PART or (at - last > 1 and _every(word[at - 2 : at], LONG_EVERY)):
+            yield at
+            last = at
+
+
+def _parts_of_sentence(sentence: str, known: dict[str, bool]) -> Iterator[str]:
+    """Parts of a long sentence. ``known`` remembers which words end one."""
+    first, at, count = 0, len(sentence) - len(sentence.lstrip()), 0
+    for word in WORD.findall(sentence):
+        if len(word) > LONG and len(bare := word.rstrip()) > LONG:
+            ends = [at] if count else []
+            ends += [*(at + cut for cut in _cuts_of_word(bare)), at + len(word)]
+        else:
+            if (last := known.get(word)) is None:
+                last = known[word] = _every(word.rstrip(), EVERY)
+            count += 1
+            ends = [at + len(word)] if last or count == PART else []
+        at += len(word)
+        for end in ends:
+            yield sentence[first:end]
+            first, count = end, 0
+    if at > first:
+        yield sentence[first:at]
+
+
+def sentences(text: str, known: dict[str, bool] | None = None) -> list[str]:
     """Parts of ``text`` that give it again when joined."""
+    known = {} if known is None else known
     found: list[str] = []
     start = 0
     for m in END.finditer(text):
         piece, start = text[start : m.end()], m.end()
-        if not piece:
-            continue
-        if piece.count(" ") < PART:
-            found.append(piece)
-            continue
-        at = len(piece) - len(piece.lstrip())
-        parts = PIECE.findall(piece, at)
-        found.append(piece[:at] + parts[0] if parts else piece)
-        found += parts[1:]
+        if len(piece) <= 2 * PART or len(words := piece.split()) <= PART and max(map(len, words), default=0) <= LONG:
+            found += [piece] if piece else []
+        else:
+            found += _parts_of_sentence(piece, known)
     return found
 
 
+def ends_of_spans(words: list[list[str]]) -> list[int]:
+    """Where the span of each sentence ends; of the last sentences, that have none, beyond the text."""
+    sizes = [len(w) if all(map(str.isascii, w)) else sum(1 if x.isascii() else max(1, len(x) // CHARACTERS) for x in w) for w in words]
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    least = np.searchsorted(total, total[:-1] + WORDS)  # first end with enough words
+    return np.maximum(least, np.arange(len(words)) + SENTENCES).tolist()
+
+
 def spans(parts: list[str]) -> Iterator[tuple[int, int, int]]:
     """(hash, first sentence, number of sentences) of each run."""
     words = [part.lower().split() for part in parts]
-    sizes = [len(w) for w in words]
     hashes = [xxhash.xxh64_digest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words]
-    total = np.concatenate([[0], np.cumsum(sizes)])
-    least = np.searchsorted(total, total[:-1] + WORDS)  # first end with enough words
-    for i, end in enumerate(np.maximum(least, np.arange(len(parts)) + SENTENCES).tolist()):
+    for i, end in enumerate(ends_of_spans(words)):
         if end > len(parts):
             return
         yield xxhash.xxh64_intdigest(b"".join(hashes[i:end])), i, end - i
 
 
 def _spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, bool] = {}
     for batch in batches:
-        rows, hashes, at, size = [], [], [], []
+        rows, hashes, at = [], [], []
         for row, text in enumerate(batch.column("text")):
-            for h, i, n in spans(sentences(text.as_py())):
+            for h, i, _ in spans(sentences(text.as_py(), known)):
                 rows.append(row)
                 hashes.append(h)
                 at.append(i)
-                size.append(n)
+        if len(known) > 1 << 17:  # bounds what is remembered
+            known.clear()
         taken = pa.array(rows, pa.int64())
         columns = [batch.column(c).take(taken) for c in ("doc_id", "tie")]
-        columns += [pa.array(np.array(hashes, "u8").view("i8")), pa.array(at, pa.int32()), pa.array(size, pa.int32())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "hash", "at", "size"])
+        columns += [pa.array(np.array(hashes, "u8").view("i8")), pa.array(at, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "hash", "at"])
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, tie, spans: array of (at, size): the non-first repeated spans of each text that has some."""
+def _rows(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    found = rows.mapInArrow(_spans, "doc_id long, tie long, hash long, at int, size int")
-    found = stored(found, "spans")
+    return rows.withColumn("tie", F.xxhash64("text"))
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """doc_id, tie, at: where the non-first repeated spans of each text that has some begin."""
+    found = stored(_rows(docs).mapInArrow(_spans, "doc_id long, tie long, hash long, at int"), "spans")
+    many = found.groupBy("hash").count().where("count > 1")
+    shared = stored(found.join(many.select("hash"), "hash"), "shared")
     place = F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id", "tie", "at")
-    many = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    others = found.join(many.select("hash", "first"), "hash").where(place > F.col("first"))
-    return others.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("at", "size")).alias("spans"))
+    first = shared.groupBy("hash").agg(F.min(place).alias("first"))
+    others = shared.join(first, "hash").where(place > F.col("first"))
+    return others.groupBy("doc_id", "tie").agg(F.collect_set("at").alias("at"))
 
 
 CLEANED = "doc_id long, text string, n_sentences int, n_removed int, removed array<struct<start: int, end: int>>"
@@ -101,14 +152,19 @@ CLEANED = "doc_id long, text string, n_sentences int, n_removed int, removed arr
 
 def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    known: dict[str, bool] = {}
     for batch in batches:
         texts, sizes, removed, places = [], [], [], []
-        for text, found in zip(batch.column("text"), batch.column("spans"), strict=True):
-            parts = sentences(text.as_py())
+        if len(known) > 1 << 17:
+            known.clear()
+        for text, found in zip(batch.column("text"), batch.column("at"), strict=True):
+            parts = sentences(text.as_py(), known)
             gone = np.zeros(len(parts) + 1, int)
-            for span in found.as_py() or ():
-                gone[span["at"]] += 1
-                gone[span["at"] + span["size"]] -= 1
+            if found.is_valid:
+                at = found.values.to_numpy()
+                ends = np.array(ends_of_spans([part.split() for part in parts]))[at]
+                np.add.at(gone, at, 1)
+                np.add.at(gone, ends, -1)
             gone = np.cumsum(gone)[:-1] > 0
             ends = np.cumsum([len(p) for p in parts]) if parts else np.empty(0, int)
             place: list[dict] = []
@@ -136,9 +192,7 @@ def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text without repeated spans, numbers of sentences and of removed ones, removed code points."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    found = stored(repeated(docs), "repeated")
+    rows, found = _rows(docs), stored(repeated(docs), "repeated")
     same = rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["tie"] == found["tie"])
-    joined = rows.join(found, same, "left").select(rows["doc_id"], "text", "spans")
+    joined = rows.join(found, same, "left").select(rows["doc_id"], "text", "at")
     return joined.mapInArrow(_remove, CLEANED)

@@ -243,6 +243,31 @@ def test_sentences_give_the_text_again():
         assert all(len(p.split()) <= spans.PART for p in parts)
 
 
+@pytest.mark.parametrize("long", [False, True])
+def test_a_passage_goes_at_any_place_in_a_sentence(documents, long):
+    """A passage begins after 0 to 23 other words (or characters of one word) of a run-on text."""
+    draw = np.random.default_rng(3)
+    glue, size = ("", 1) if long else (" ", 6)
+    alphabet = [chr(0x4E00 + k) for k in range(800)] if long else list("abcdefghijklmnopqrstuvwxyz")
+    words = lambda n: ["".join(draw.choice(alphabet, size)) for _ in range(n)]
+    passage = words(400 if long else 120)
+    rows = [(0, glue.join([*words(7), *passage, *words(30)]))]
+    rows += [(1 + k, glue.join([*words(k), *passage, *words(30)])) for k in range(24)]
+    found = {r["doc_id"]: r for r in spans.without_repeats(documents([(*r, "en", "a") for r in rows])).collect()}
+    assert found[0]["text"] == rows[0][1]
+    for i, text in rows[1:]:
+        left, own = found[i]["text"], text.split(glue.join(passage))
+        gone = len(text) - len(left)
+        assert 0.9 * len(glue.join(passage)) <= gone <= len(glue.join(passage)) + 1
+        assert left.startswith(own[0]) and left.endswith(own[1])
+
+
+def test_equal_rows_gather_each_place_once(documents):
+    text = "One is here. Two are there now. Three more of them come along today. And four stay."
+    rows = spans.repeated(documents([(i // 500, text, "en", "a") for i in range(1000)])).collect()
+    assert {r["doc_id"] for r in rows} == {1} and all(len(r["at"]) == len(set(r["at"])) <= 4 for r in rows)
+
+
 def test_repeated_passages_go(documents):
     passage = "The quick brown fox jumps. It runs over the lazy dog! Then it sleeps for an hour. " * 1 + "So it ends there."
     other = [f"Sentence {i} is quite its own. Nothing of {i} is said again. Well, {i} it is, for good. " for i in range(30)]
