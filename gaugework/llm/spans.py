@@ -45,7 +45,11 @@ LONG, LONG_EVERY, LONG_PART = 40, 12, 60
 CHARACTERS = 6
 
 #: Where a sentence ends, with the white space after it.
-END = re.compile(r"[.!?\u2026\u0964\u061f\u06d4]+(?=\s)\s*|[\u3002\uff01\uff1f]+\s*|\s*\n\s*|\Z")
+#: It begins with one set of characters, so that a search goes from one of them to the next.
+END = re.compile(
+    r"[.!?\n\u2026\u0964\u061f\u06d4\u3002\uff01\uff1f]"
+    r"(?:(?<=\n)|(?<=[\u3002\uff01\uff1f])(?![\u3002\uff01\uff1f])|(?=\s))\s*"
+)
 WORD = re.compile(r"\S+\s*")
 
 
@@ -62,69 +66,93 @@ def _cuts_of_word(word: str) -> Iterator[int]:
             last = at
 
 
-def _parts_of_sentence(sentence: str, known: dict[str, bool]) -> Iterator[str]:
-    """Parts of a long sentence. ``known`` remembers which words end one."""
-    first, at, count = 0, len(sentence) - len(sentence.lstrip()), 0
-    for word in WORD.findall(sentence):
-        if len(word) > LONG and len(bare := word.rstrip()) > LONG:
-            ends = [at] if count else []
-            ends += [*(at + cut for cut in _cuts_of_word(bare)), at + len(word)]
-        else:
-            if (last := known.get(word)) is None:
-                last = known[word] = _every(word.rstrip(), EVERY)
-            count += 1
-            ends = [at + len(word)] if last or count == PART else []
-        at += len(word)
-        for end in ends:
-            yield sentence[first:end]
-            first, count = end, 0
-    if at > first:
-        yield sentence[first:at]
-
-
-def sentences(text: str, known: dict[str, bool] | None = None) -> list[str]:
+class Enders(dict):
+    """Whether a word, with the white space after it, ends a part; found once a word."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 1 << 17:  # bounds what is remembered
+            self.clear()
+        self[word] = ends = zlib.crc32(word.rstrip().lower().encode("utf-8", "surrogatepass")) % EVERY == 0
+        return ends
+
+
+def _parts_of_sentence(words: list[str], enders: Enders) -> Iterator[str]:
+    """Parts of a long sentence, given as words with the white space after each."""
+    first = 0
+    for end in [i for i, ends in enumerate(map(enders.__getitem__, words), 1) if ends] + [len(words)]:
+        while end - first > PART:
+            yield "".join(words[first : first + PART])
+            first += PART
+        if end > first:
+            yield "".join(words[first:end])
+            first = end
+
+
+def _parts_around_long_words(words: list[str], enders: Enders) -> Iterator[str]:
+    first = 0
+    for i, word in enumerate(words):
+        if len(bare := word.rstrip()) > LONG:
+            yield from _parts_of_sentence(words[first:i], enders)
+            cuts = [0, *_cuts_of_word(bare), len(word)]
+            yield from (word[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+            first = i + 1
+    yield from _parts_of_sentence(words[first:], enders)
+
+
+def sentences(text: str, enders: Enders | None = None) -> list[str]:
     """Parts of ``text`` that give it again when joined."""
-    known = {} if known is None else known
+    enders = Enders() if enders is None else enders
     found: list[str] = []
     start = 0
-    for m in END.finditer(text):
-        piece, start = text[start : m.end()], m.end()
-        if len(piece) <= 2 * PART or len(words := piece.split()) <= PART and max(map(len, words), default=0) <= LONG:
+    for end in [*(m.end() for m in END.finditer(text)), len(text)]:
+        piece, start = text[start:end], end
+        if len(piece) <= 2 * PART:
             found += [piece] if piece else []
-        else:
-            found += _parts_of_sentence(piece, known)
+            continue
+        words = WORD.findall(piece)
+        long = max(map(len, words), default=0) > LONG and any(len(word.rstrip()) > LONG for word in words)
+        if not long and len(words) <= PART:
+            found.append(piece)
+            continue
+        at = len(found)
+        found += _parts_around_long_words(words, enders) if long else _parts_of_sentence(words, enders)
+        if piece[0].isspace():
+            found[at] = piece[: len(piece) - len(piece.lstrip())] + found[at]
     return found
 
 
-def ends_of_spans(words: list[list[str]]) -> list[int]:
+def _size(part: str, words: list[str]) -> int:
+    if part.isascii():
+        return len(words)
+    return sum(1 if x.isascii() else max(1, len(x) // CHARACTERS) for x in words)
+
+
+def ends_of_spans(parts: list[str], words: list[list[str]]) -> list[int]:
     """Where the span of each sentence ends; of the last sentences, that have none, beyond the text."""
-    sizes = [len(w) if all(map(str.isascii, w)) else sum(1 if x.isascii() else max(1, len(x) // CHARACTERS) for x in w) for w in words]
-    total = np.concatenate([[0], np.cumsum(sizes)])
+    total = np.concatenate([[0], np.cumsum(list(map(_size, parts, words)))])
     least = np.searchsorted(total, total[:-1] + WORDS)  # first end with enough words
-    return np.maximum(least, np.arange(len(words)) + SENTENCES).tolist()
+    return np.maximum(least, np.arange(len(parts)) + SENTENCES).tolist()
 
 
 def spans(parts: list[str]) -> Iterator[tuple[int, int, int]]:
     """(hash, first sentence, number of sentences) of each run."""
     words = [part.lower().split() for part in parts]
     hashes = [xxhash.xxh64_digest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words]
-    for i, end in enumerate(ends_of_spans(words)):
+    for i, end in enumerate(ends_of_spans(parts, words)):
         if end > len(parts):
             return
         yield xxhash.xxh64_intdigest(b"".join(hashes[i:end])), i, end - i
 
 
 def _spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, bool] = {}
+    enders = Enders()
     for batch in batches:
         rows, hashes, at = [], [], []
         for row, text in enumerate(batch.column("text")):
-            for h, i, _ in spans(sentences(text.as_py(), known)):
+            for h, i, _ in spans(sentences(text.as_py(), enders)):
                 rows.append(row)
                 hashes.append(h)
                 at.append(i)
-        if len(known) > 1 << 17:  # bounds what is remembered
-            known.clear()
         taken = pa.array(rows, pa.int64())
         columns = [batch.column(c).take(taken) for c in ("doc_id", "tie")]
         columns += [pa.array(np.array(hashes, "u8").view("i8")), pa.array(at, pa.int32())]
@@ -152,17 +180,15 @@ CLEANED = "doc_id long, text string, n_sentences int, n_removed int, removed arr
 
 def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    known: dict[str, bool] = {}
+    enders = Enders()
     for batch in batches:
         texts, sizes, removed, places = [], [], [], []
-        if len(known) > 1 << 17:
-            known.clear()
         for text, found in zip(batch.column("text"), batch.column("at"), strict=True):
-            parts = sentences(text.as_py(), known)
+            parts = sentences(text.as_py(), enders)
             gone = np.zeros(len(parts) + 1, int)
             if found.is_valid:
                 at = found.values.to_numpy()
-                ends = np.array(ends_of_spans([part.split() for part in parts]))[at]
+                ends = np.array(ends_of_spans(parts, [part.split() for part in parts]))[at]
                 np.add.at(gone, at, 1)
                 np.add.at(gone, ends, -1)
             gone = np.cumsum(gone)[:-1] > 0
