@@ -76,7 +76,7 @@ def test_all_tokens_are_packed(stages):
 
 def test_queries_are_registered(spark):
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert {"pipeline", *names} <= entry.queries().keys()
     ids = {r["doc_id"] for r in read(spark, FOLDER, "documents").select("doc_id").collect()}
     made = entry.queries()["op2_sentence_spans"](spark, FOLDER)
