@@ -190,7 +190,9 @@ def fingerprint_edits(docs: DataFrame, known: list[int] | None = None) -> DataFr
     edited_fingerprint, near_edited, near_next. Null texts are empty.
     """
     found = lexicon(docs) if known is None else docs.sparkSession.createDataFrame([(k,) for k in known], "term long")
-    buckets = looked_up(drawn(found))
+    # The lexicon is written first: what only depends on a term, as masks do, would else be computed before
+    # the count, for every term of every document.
+    buckets = looked_up(drawn(stored(found, "terms")))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(
         F.substr(F.col("text"), F.lit(1), F.length("text") - half), F.substr(F.col("next.text"), F.lit(1), half)
