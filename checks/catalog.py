@@ -400,10 +400,10 @@ def stream_window_replay(spark: SparkSession, folder: str) -> DataFrame:
     return _windows_of(spark, out)
 
 
-def stream_bounded(spark: SparkSession, folder: str) -> DataFrame:
-    """Batches of a stream in order of ids, of just over a quarter of all rows at most."""
+def bounded_log(spark: SparkSession, folder: str, parts: int, **how) -> DataFrame:
+    """The log of a stream in order of ids, of just over 1 in ``parts`` of all rows a batch."""
     table = events(spark, folder)
-    out, size = fresh_dir(spark, "stream"), table.count() // BATCHES + 7
+    out, size = fresh_dir(spark, "stream"), table.count() // parts + 7
     source = gw.stream_by_id(spark, f"{folder}/events.parquet", table.schema, size, id_column="event_id")
     query = gw.start_stream(
         as_readings(source),
@@ -413,6 +413,7 @@ def stream_bounded(spark: SparkSession, folder: str) -> DataFrame:
         start="earliest",
         clock="event",
         poll="0 seconds",
+        **how,
     )
     try:
         query.processAllAvailable()
@@ -423,6 +424,16 @@ def stream_bounded(spark: SparkSession, folder: str) -> DataFrame:
     return log.join(made, "batch_id", "left")
 
 
+def stream_bounded(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of a stream in order of ids, of just over a quarter of all rows at most."""
+    return bounded_log(spark, folder, BATCHES)
+
+
+def stream_folded_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with twice as many batches, of whose log three at a time are folded."""
+    return bounded_log(spark, folder, 2 * BATCHES, fold_log=3)
+
+
 def delayed(spark: SparkSession, folder: str) -> DataFrame:
     """Readings of which every seventh comes after all others, with an id to match."""
     rows = readings(spark, folder)
@@ -514,6 +525,7 @@ QUERIES: dict[str, Query] = {
     "stream_window_state": stream_window_state,
     "stream_window_replay": stream_window_replay,
     "stream_bounded": stream_bounded,
+    "stream_folded_log": stream_folded_log,
     "late_readings": late_readings,
     "late_windows": late_windows,
 }

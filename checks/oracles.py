@@ -350,6 +350,18 @@ e AS (
     FROM active WHERE minutes > 0 AND time_interval IS NOT NULL AND pre_save_formula LIKE '%[%')
 SELECT variable_id, {stamp("window_end - len")} AS window_start, {stamp("window_end")} AS window_end FROM e"""
 
+
+def bounded_log(parts: int) -> str:
+    return f"""WITH {READINGS},
+numbered AS (
+    SELECT *, (row_number() OVER (ORDER BY id) - 1) // (count(*) OVER () // {parts} + 7) AS part FROM readings),
+snap AS (SELECT p.part, {LATEST_OF} FROM (SELECT DISTINCT part FROM numbered) p JOIN numbered r ON r.part <= p.part GROUP BY p.part),
+t AS (SELECT r.id, r.short, r.ts, r.part, {OWN_OR_LATEST} FROM numbered r JOIN snap s ON s.part = r.part),
+made AS (SELECT part, count(*) AS successes FROM ({outcomes(fixtures.CONTINUOUS, "part, id AS tag_id")}) WHERE error IS NULL GROUP BY part)
+SELECT n.part AS batch_id, count(*) AS readings, max(n.id) AS last_processed_id, any_value(m.successes) AS successes
+FROM numbered n LEFT JOIN made m ON m.part = n.part GROUP BY n.part"""
+
+
 ORACLES: dict[str, str] = {
     "incremental_scan": f"""WITH {READINGS}
 SELECT id, node_id, value, {stamp("ts")} AS timestamp, 'Good' AS quality FROM readings
@@ -440,14 +452,8 @@ FROM ticks t JOIN readings r ON r.short = t.short AND r.ts BETWEEN t.window_end
 GROUP BY t.variable_id, t.window_end""",
     "stream_deadlines": f"""{ticks()}
 SELECT variable_id, {stamp("next")} AS time_interval FROM ticks WHERE part = {PARTS - 1}""",
-    "stream_bounded": f"""WITH {READINGS},
-numbered AS (
-    SELECT *, (row_number() OVER (ORDER BY id) - 1) // (count(*) OVER () // {PARTS} + 7) AS part FROM readings),
-snap AS (SELECT p.part, {LATEST_OF} FROM (SELECT DISTINCT part FROM numbered) p JOIN numbered r ON r.part <= p.part GROUP BY p.part),
-t AS (SELECT r.id, r.short, r.ts, r.part, {OWN_OR_LATEST} FROM numbered r JOIN snap s ON s.part = r.part),
-made AS (SELECT part, count(*) AS successes FROM ({outcomes(fixtures.CONTINUOUS, "part, id AS tag_id")}) WHERE error IS NULL GROUP BY part)
-SELECT n.part AS batch_id, count(*) AS readings, max(n.id) AS last_processed_id, any_value(m.successes) AS successes
-FROM numbered n LEFT JOIN made m ON m.part = n.part GROUP BY n.part""",
+    "stream_bounded": bounded_log(PARTS),
+    "stream_folded_log": bounded_log(2 * PARTS),
     "late_readings": f"""{delayed()}
 SELECT variable_id, node_id, {stamp("window_start")} AS window_start, {stamp("window_end")} AS window_end, id, value, high_id
 FROM late""",

@@ -7,6 +7,11 @@ batch's lines the newest counts, and readers see the attempts that those name an
 a batch that is run again is read as it was until its new line is there, and as
 it is then, never in part. Folders of attempts that no line counts for are removed by
 :func:`remove_superseded`.
+
+The lines of every ``fold`` batches are folded into one table with those before, ``folded/upto=N``, and
+the log is read as the newest whole one of these and the lines after it. Only batches that
+can't run again are folded, so a folded line never changes. What a fold has taken up
+stays until the next one, for reads that began before.
 """
 
 from __future__ import annotations
@@ -26,6 +31,13 @@ OUTCOMES = (
     "created_by string, is_deleted boolean"
 )
 
+#: Batches between two folds of the log.
+FOLD = 64
+#: Lines of one file of the folded log.
+LINES_PER_FILE = 1_000_000
+
+FOLDED = schemas.COUNTED + ", attempt string, batch_id bigint"
+
 
 def read_if_present(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at ``path``, or no rows when nothing was written there yet."""
@@ -57,10 +69,12 @@ def write_batch(
     as_of: int | None,
     updated_at: datetime | None = None,
     service_name: str = "gaugework",
+    fold: int = FOLD,
 ) -> None:
     """The line of the log that commits a batch; ``as_of`` is in microseconds.
 
     Its outcomes are counted from the files just written, of which only the footers are read.
+    Every ``fold`` batches, the lines before this one are folded.
     """
     path = f"{out_path}/outcomes/batch_id={batch_id}/attempt={attempt}"
     line = f"{out_path}/batches/batch_id={batch_id}"
@@ -78,14 +92,48 @@ def write_batch(
         F.lit(attempt).alias("attempt"),
         F.lit(0 if before is None else before + 1).alias("turn"),
     ).coalesce(1).write.mode("append").parquet(line)
+    if batch_id > 0 and batch_id % fold == 0:
+        fold_log(spark, out_path, batch_id - 1)
+
+
+def folded_upto(spark: SparkSession, out_path: str) -> int:
+    """The last batch of the newest whole table of folded lines, -1 without one."""
+    folder = f"{out_path}/folded"
+    whole = [upto for upto in _numbers(spark, folder, "upto") if exists(spark, f"{folder}/upto={upto}/_SUCCESS")]
+    return max(whole, default=-1)
+
+
+def fold_log(spark: SparkSession, out_path: str, upto: int) -> None:
+    """Fold the lines of the batches up to ``upto``, none of which can run again.
+
+    Lines and tables that the fold before has taken up are removed.
+    """
+    before = folded_upto(spark, out_path)
+    if before >= upto:
+        return
+    lines = log_lines(spark, out_path).filter(F.col("batch_id") <= upto)
+    files = upto // LINES_PER_FILE + 1
+    lines = lines.coalesce(1) if files == 1 else lines.repartitionByRange(files, "batch_id")
+    lines.write.mode("overwrite").parquet(f"{out_path}/folded/upto={upto}")
+    for batch in _numbers(spark, f"{out_path}/batches", "batch_id"):
+        if batch <= before:
+            remove(spark, f"{out_path}/batches/batch_id={batch}")
+    for old in _numbers(spark, f"{out_path}/folded", "upto"):
+        if old < before:
+            remove(spark, f"{out_path}/folded/upto={old}")
 
 
 def log_lines(spark: SparkSession, out_path: str) -> DataFrame:
     """The newest line of each committed batch, with the attempt it names."""
+    upto = folded_upto(spark, out_path)
     lines = read_if_present(spark, f"{out_path}/batches", schemas.LINE + ", batch_id bigint")
+    lines = lines.filter(F.col("batch_id") > upto)
     values = [name for name in lines.columns if name not in ("batch_id", "turn")]
     newest = lines.groupBy("batch_id").agg(F.max_by(F.struct(*values), "turn").alias("line"))
-    return newest.select("line.*", "batch_id")
+    newest = newest.select("line.*", "batch_id")
+    if upto < 0:
+        return newest
+    return spark.read.schema(FOLDED).parquet(f"{out_path}/folded/upto={upto}").unionByName(newest)
 
 
 def batches(spark: SparkSession, out_path: str) -> DataFrame:
@@ -126,10 +174,30 @@ def remove_superseded(spark: SparkSession, out_path: str) -> int:
     return len(gone)
 
 
+def _on_store(spark: SparkSession, path: str):
+    """A path and the file system that it is on."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder on whatever file system it is."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    folder, store = _on_store(spark, path)
+    store.delete(folder, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, store = _on_store(spark, path)
+    return store.exists(place)
+
+
+def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers N of the folders ``name=N`` at ``path``."""
+    folder, store = _on_store(spark, path)
+    if not store.exists(folder):
+        return []
+    names = [entry.getPath().getName() for entry in store.listStatus(folder)]
+    return sorted(int(found.partition("=")[2]) for found in names if found.startswith(f"{name}="))
 
 
 def executions(spark: SparkSession, out_path: str, since: int = 0) -> DataFrame:

@@ -39,6 +39,7 @@ from gaugework.operators.windows import (
 from gaugework.plans.reports import all_executions
 from gaugework.sources.readings import start_offset
 from gaugework.sources.results import (
+    FOLD,
     batches,
     read_if_present,
     write_batch,
@@ -62,6 +63,7 @@ class _Service:
     windows: str
     service_name: str
     open_windows: str = "history"
+    fold_log: int = FOLD
     _formulas: FormulaSet | None = field(default=None, repr=False)
     _read_at: float = 0.0
 
@@ -118,6 +120,7 @@ class _Service:
             as_of=as_of,
             updated_at=now,
             service_name=self.service_name,
+            fold=self.fold_log,
         )
 
     def _before(self, batch_id: int) -> tuple[int | None, int | None]:
@@ -234,6 +237,7 @@ def start_stream(
     poll: str | None = None,
     tick_every: timedelta | None = None,
     open_windows: str = "history",
+    fold_log: int = FOLD,
     service_name: str = "gaugework",
 ) -> StreamingQuery:
     """Evaluate formulas over a stream of readings, batch by batch.
@@ -253,13 +257,16 @@ def start_stream(
     new, changed or anchored anew, and for aggregates over several nodes.
 
     Without ``poll`` the stream ends when the source is drained, else it looks
-    for new readings that often ("1 second"). A stream runs no batch without
+    for new readings that often ("1 second"). Every ``fold_log`` batches the log of batches is
+    folded into one table. A stream runs no batch without
     data; with ``tick_every`` due windows do not wait for the next reading.
     """
     if clock not in ("wall", "event") or windows not in ("tick", "replay"):
         raise ValueError("clock is 'wall' or 'event', windows is 'tick' or 'replay'")
     if open_windows not in ("history", "state"):
         raise ValueError("open_windows is 'history' or 'state'")
+    if fold_log < 1:
+        raise ValueError("fold_log is 1 or more")
     spark = readings.sparkSession
     service = _Service(
         spark=spark,
@@ -272,6 +279,7 @@ def start_stream(
         windows=windows,
         service_name=service_name,
         open_windows=open_windows,
+        fold_log=fold_log,
     )
     _bind(service, checkpoint)
     offset = _first_offset(service, start)
@@ -306,6 +314,7 @@ def rerun_batch(
     delay: timedelta = timedelta(0),
     windows: str = "tick",
     open_windows: str = "history",
+    fold_log: int = FOLD,
     service_name: str = "gaugework",
 ) -> None:
     """Run the last batch of a stopped service once more, over the same readings.
@@ -319,7 +328,7 @@ def rerun_batch(
     if last is not None and batch_id not in (last, last + 1):
         raise ValueError(f"the last batch is {last}")
     _Service(
-        spark, out_path, read_variables, read_history, 0.0, clock, delay, windows, service_name, open_windows
+        spark, out_path, read_variables, read_history, 0.0, clock, delay, windows, service_name, open_windows, fold_log
     ).run(readings, batch_id)
 
 

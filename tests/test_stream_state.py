@@ -266,3 +266,65 @@ def test_late_readings_and_corrected_windows(spark, plant, readings_of, variable
     assert made[3].fired_result == 14 + 15 and made[3].result == 7 + 15
     fired = {(r.variable_id, r.window_end): r.result for r in gw.fired_windows(spark, plant.out).collect()}
     assert fired[1, second] == sum(range(16, 21, 2)) + 7  # id 23 lies on the edge, and came before this one fired
+
+
+def log_of(spark, out):
+    rows = results.log_lines(spark, out).orderBy("batch_id").collect()
+    return [(r.batch_id, r.readings, r.last_processed_id, r.successes, r.failures, r.attempt) for r in rows]
+
+
+def folders(out, name):
+    return sorted(int(entry.split("=")[1]) for entry in os.listdir(f"{out}/{name}") if "=" in entry)
+
+
+def test_the_log_is_folded_and_reads_as_before(spark, plant, readings_of, variables_of):  # noqa: F811
+    for number in range(8):
+        plant.add(number)
+    variables = variables_of(*FORMULAS)
+    plant.drain(variables, fold_log=3)
+    # Folded after batches 3 and 6; the lines that the first fold took up went with the second.
+    assert folders(plant.out, "folded") == [2, 5] and folders(plant.out, "batches") == [3, 4, 5, 6, 7]
+    folded, outcomes = log_of(spark, plant.out), plant.outcomes()
+    assert [line[0] for line in folded] == list(range(8)) and {line[1] for line in folded} == {20}
+    stats = results.service_stats(spark, plant.out).first()
+    assert (stats.total_tags_processed, stats.batches_processed) == (160, 8)
+    assert results.newest_executions(spark, plant.out, 10**6).count() == results.executions(spark, plant.out).count()
+    # The last batch can still run again, and a stream goes on from there.
+    gw.rerun_batch(readings_of(batch_rows(7)), lambda: variables, plant.out, 7, clock="event", fold_log=3)
+    again = log_of(spark, plant.out)
+    assert [line[:5] for line in again] == [line[:5] for line in folded] and again[7][5] != folded[7][5]
+    assert plant.outcomes() == outcomes and results.remove_superseded(spark, plant.out) == 1
+    plant.out, plant.checkpoint = plant.out + "2", plant.checkpoint + "2"
+    plant.drain(variables)
+    assert plant.outcomes() == outcomes
+    assert [line[:5] for line in log_of(spark, plant.out)] == [line[:5] for line in folded]
+
+
+def test_a_fold_that_was_cut_short_is_not_read(spark, tmp_path):
+    out = str(tmp_path / "out")
+
+    def commit(batch, attempt):
+        results.write_batch(
+            spark, out, batch, attempt, last_processed_id=batch * 10, readings=10, as_of=None, fold=4
+        )
+
+    for batch in range(4):
+        commit(batch, f"a{batch}")
+    before = log_of(spark, out)
+    half = results.log_lines(spark, out).limit(1)
+    half.write.parquet(f"{out}/folded/upto=3")
+    os.remove(f"{out}/folded/upto=3/_SUCCESS")
+    assert results.folded_upto(spark, out) == -1 and log_of(spark, out) == before
+    # The batch that was folding is run again: it has two lines, the newer counts, and the fold is whole.
+    commit(4, "a4")
+    commit(4, "b4")
+    assert results.folded_upto(spark, out) == 3
+    assert log_of(spark, out) == [*before, (4, 10, 40, 0, 0, "b4")]
+    for batch in range(5, 10):
+        commit(batch, f"a{batch}")
+    assert folders(out, "folded") == [3, 7] and folders(out, "batches") == list(range(4, 10))
+    assert log_of(spark, out)[4][5] == "b4"
+    results.fold_log(spark, out, 7)
+    results.fold_log(spark, out, 8)
+    assert folders(out, "folded") == [7, 8] and folders(out, "batches") == [8, 9]
+    assert [line[0] for line in log_of(spark, out)] == list(range(10))
