@@ -8,12 +8,16 @@ query's tenth best so far, the best being divided by ``relax``. With ``relax`` 1
 neighbour is missed; above 1, fewer parts are visited. The tree's own distances only choose
 candidates; each reported distance is computed anew, in double precision.
 
-Queries are dealt in blocks of about ``BLOCK`` rows: a task holds one shard and one
-block. Each gives its nearest few per query, and those are merged.
+Each vector is shuffled once, whatever the number of queries, and each query once to every shard. A
+partition is sorted so that a shard's vectors come before its queries: the task grows
+the tree once and then sends the queries down it as they arrive, ``BLOCK`` at a time. It
+holds one shard and one block. Each shard gives its nearest few per query, and those are merged.
 
 Vectors that are null, empty, zero, or hold a null or a non-finite component take no
 part. Vectors of different lengths are not compared with each other. Repeated rows count
-each on its own. A query is not its own neighbour: rows with its id are left out.
+each on its own; they are counted before they are dealt, so that they make no shard large. A query
+is not its own neighbour: rows with its id are left out. Equal queries are one; queries of one id with
+different vectors share its places.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ BLOCK = 2_048
 LEAF = 256
 RELAX = 3.0
 
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_id long, vec_id long, score double, copies long"
 
 
 class Tree:
@@ -95,54 +99,72 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    lists = column.combine_chunks()
-    return lists.values.slice(lists.offsets[0].as_py()).to_numpy().reshape(len(lists), -1) if len(lists) else np.empty((0, 1))
-
-
-def _nearest(k: int, relax: float):
-    def run(group: pa.Table) -> pa.Table:
-        asked = group.column("asked").to_numpy()
-        group = group.select(["vec_id", "vector"])
-        vectors, ids = _matrix(group.column("vector"))[~asked], group.column("vec_id").to_numpy()
-        # In order of ids, whatever the order of arrival, so that reruns agree.
-        order = np.argsort(ids[~asked], kind="stable")
-        vectors, names = vectors[order], ids[~asked][order]
-        queries, own = _matrix(group.column("vector"))[asked], ids[asked]
-        found = []
-        if len(vectors) and len(queries):
-            _, rows = Tree(vectors).search(queries, own, names, k, relax)
-            q, rank = np.nonzero(rows >= 0)
-            hit = rows[q, rank]
-            score = np.sqrt(((queries[q] - vectors[hit]) ** 2).sum(1))
-            found = [own[q], names[hit], score]
-        columns = found or [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy().reshape(len(lists), -1)
+
+
+def _search(k: int, relax: float, block: int):
+    """For ``mapInArrow`` over partitions that :func:`dealt` made."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, tree, ids, copies = None, [], None, None, None
+        for batch in batches:
+            keys = np.stack([batch.column(name).to_numpy(zero_copy_only=False) for name in ("length", "shard", "asked")])
+            starts = [0, *(np.nonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[0] + 1), batch.num_rows]
+            for start, end in zip(starts, starts[1:]):
+                if start == end:
+                    continue
+                part = batch.slice(start, end - start)
+                if shard != tuple(keys[:2, start]):
+                    shard, held, tree = tuple(keys[:2, start]), [], None
+                if not keys[2, start]:
+                    held.append(part)
+                    continue
+                if held:
+                    table = pa.Table.from_batches(held).combine_chunks()
+                    tree = Tree(np.concatenate([_matrix(chunk) for chunk in table.column("vector").chunks]))
+                    ids, copies, held = table.column("vec_id").to_numpy(), table.column("copies").to_numpy(), []
+                if tree is None:
+                    continue
+                queries, own = _matrix(part.column("vector")), part.column("vec_id").to_numpy()
+                for at in range(0, len(own), block):
+                    asked, names = queries[at : at + block], own[at : at + block]
+                    _, rows = tree.search(asked, names, ids, k, relax)
+                    q, rank = np.nonzero(rows >= 0)
+                    hit = rows[q, rank]
+                    score = np.sqrt(((asked[q] - tree.vectors[hit]) ** 2).sum(1))
+                    columns = [pa.array(c) for c in (names[q], ids[hit], score, copies[hit])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score", "copies"])
 
     return run
 
 
+def usable(df: DataFrame) -> DataFrame:
+    """Each distinct (vec_id, vector) that takes part, with its length and number of copies."""
+    rows = df.where("vec_id IS NOT NULL").select(
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")
+    )
+    bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = rows.where(~bad & F.exists("vector", lambda x: x != 0))
+    return rows.groupBy("vec_id", "vector").agg(F.count(F.lit(1)).alias("copies")).withColumn("length", F.size("vector"))
+
+
+def dealt(vectors: DataFrame, queries: DataFrame, shards: int) -> DataFrame:
+    """Vectors each in one shard, queries in all, a shard's vectors first and in order, so that reruns agree."""
+    places = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int"))
+    asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    both = places.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True)))
+    return both.repartition(shards, "length", "shard").sortWithinPartitions("length", "shard", "asked", "vec_id", "vector")
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 10, relax: float = RELAX, shard: int = SHARD, block: int = BLOCK
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of ``vectors`` (vec_id, embedding) to each of ``queries``."""
-
-    def usable(df: DataFrame) -> DataFrame:
-        rows = df.where("vec_id IS NOT NULL").select(
-            F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")
-        )
-        bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-        return rows.where(~bad & F.exists("vector", lambda x: x != 0)).withColumn("length", F.size("vector"))
-
     vectors, queries = usable(vectors), usable(queries)
-    shards, blocks = max(1, -(-vectors.count() // shard)), max(1, -(-queries.count() // block))
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(shards)).cast("int"))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(blocks)).cast("int"))
-    # Each vector goes to every block of queries, each query to every shard.
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    both = dealt.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True)))
-    found = both.groupBy("length", "shard", "block").applyInArrow(_nearest(k, relax), FOUND)
+    shards = max(1, -(-vectors.count() // shard))
+    found = dealt(vectors, queries, shards).mapInArrow(_search(k, relax, block), FOUND)
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)))))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -132,6 +132,31 @@ def test_vectors_that_take_no_part(spark):
     assert vptree.nearest(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_repeated_vectors_and_clashing_columns(spark):
+    draw = np.random.default_rng(6)
+    vectors = {i: draw.normal(size=4).round(1).tolist() for i in range(120)}
+    rows = [(i, v) for i, v in vectors.items()] + [(7, vectors[7])] * 300 + [(9, vectors[8])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    extra = df.selectExpr("*", "1 AS shard", "2 AS asked", "'x' AS length", "3 AS copies", "4 AS vector")
+    asked = [0, 7, 50]
+    for some in (extra, extra.unionAll(extra)):  # equal queries are one
+        found = vptree.nearest(extra, some.where("vec_id IN (0, 7, 50)"), 10, relax=1.0, shard=30, block=2)
+        made = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in found.collect())
+        plain = []
+        for q in asked:
+            near = sorted((float(np.sqrt(((np.array(vectors[q]) - np.array(v)) ** 2).sum())), i) for i, v in rows if i != q)
+            plain += [(q, rank, i, round(d, 9)) for rank, (d, i) in enumerate(near[:10], 1)]
+        assert made == plain
+
+
+def test_vectors_are_shuffled_once(spark):
+    for n in (400, 800):
+        rows = [(i, [float(i), 1.0]) for i in range(n)]
+        df = vptree.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+        dealt = vptree.dealt(df, df.where("vec_id % 4 = 0"), 5)
+        assert dealt.where("NOT asked").count() == n and dealt.where("asked").count() == 5 * n // 4
+
+
 def plain_spans(text):
     assign = r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     found = [(m.start(), 0, m.end()) for m in re.finditer(assign, text, re.I | re.A) if len(m[1]) >= 6]
