@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import gaugework as gw
@@ -251,17 +251,30 @@ def batch_stats(spark: SparkSession, folder: str) -> DataFrame:
 BATCHES = 4
 
 
+#: Rows of a batch's file. A batch of more is several files, which tasks write and read side by side.
+ROWS_PER_FILE = 100_000
+
+
+def in_batches(rows: DataFrame, part: Column, name: str) -> DataFrame:
+    """``rows`` as a stream of ``BATCHES`` micro-batches, by the number ``part`` of each row's batch."""
+    spark, path = rows.sparkSession, fresh_dir(rows.sparkSession, name)
+    sizes = [row["count"] for row in rows.groupBy(part.alias("part")).count().collect()] or [0]
+    files = max(1, min(max(sizes) // ROWS_PER_FILE, min(sizes) // 16))
+    for at in range(BATCHES):
+        # As many files each as the source takes a batch, the oldest first. Rows are dealt
+        # evenly, so that no file is missing.
+        batch = rows.where(part == at)
+        batch = batch.coalesce(1) if files == 1 else batch.repartition(files)
+        batch.write.mode("append").parquet(path)
+        time.sleep(0.02)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """All events as a stream of ``BATCHES`` micro-batches, in order of their ids."""
     rows = events(spark, folder)
-    path = fresh_dir(spark, "events")
     part = F.expr(f"event_id * {BATCHES} div {rows.agg(F.max('event_id')).first()[0] + 1}")
-    for at in range(BATCHES):
-        # A file each, as the source takes one a batch, the oldest first.
-        rows.where(part == at).coalesce(1).write.mode("append").parquet(path)
-        time.sleep(0.02)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
-    return as_readings(stream.parquet(path))
+    return as_readings(in_batches(rows, part, "events"))
 
 
 def drained(spark: SparkSession, folder: str, variables: Callable[[str], list[fixtures.Variable]], **how) -> str:
@@ -445,12 +458,8 @@ def delayed_stream(spark: SparkSession, folder: str) -> str:
     """A stream over them in two batches of readings in time and two of late ones."""
     rows = delayed(spark, folder)
     size = readings(spark, folder).agg(F.max("id")).first()[0] + 1
-    path, out = fresh_dir(spark, "delayed"), fresh_dir(spark, "stream")
-    for at in range(BATCHES):
-        part = F.expr(f"id * {BATCHES} div {2 * size}") == at
-        rows.where(part).coalesce(1).write.mode("append").parquet(path)
-        time.sleep(0.02)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = fresh_dir(spark, "stream")
+    stream = in_batches(rows, F.expr(f"id * {BATCHES} div {2 * size}"), "delayed")
     query = gw.start_stream(
         stream,
         lambda: fixtures.table(spark, fixtures.LATE),

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -50,6 +50,14 @@ from gaugework.streaming.latest_runs import LatestRuns
 
 SLOTS = 3
 
+#: The most readings of a batch that one task holds and evaluates.
+ROWS_PER_TASK = 200_000
+#: Shuffles to up to so many tasks are written as they come, without buffering rows.
+MAX_TASKS = 200
+
+# ``monotonically_increasing_id`` has a row's place in its partition in these bits.
+PLACE = 2**33 - 1
+
 
 @dataclass
 class _Service:
@@ -85,18 +93,15 @@ class _Service:
         return self.spark.read.schema(schema).parquet(path)
 
     def run(self, readings: DataFrame, batch_id: int) -> None:
-        readings = readings.filter(F.col("id").isNotNull()).persist()
+        readings = readings.filter(F.col("id").isNotNull())
+        seen = _seen(readings)
+        readings = spread(readings, seen.readings, seen.largest).persist()
         try:
-            self._run(readings, batch_id)
+            self._run(readings, seen, batch_id)
         finally:
             readings.unpersist()
 
-    def _run(self, readings: DataFrame, batch_id: int) -> None:
-        seen = readings.agg(
-            F.count(F.lit(1)).alias("readings"),
-            F.max("id").alias("last_id"),
-            F.unix_micros(F.max(F.col("created_on").cast("timestamp"))).alias("clock"),
-        ).first()
+    def _run(self, readings: DataFrame, seen: Row, batch_id: int) -> None:
         before = self._before(batch_id)
         now = datetime.now(timezone.utc)
         as_of = self._as_of(now, seen.clock, before[1])
@@ -222,6 +227,30 @@ class _Service:
             raise ValueError("windowed formulas need read_history")
 
 
+def _seen(readings: DataFrame) -> Row:
+    """Count, highest id and newest time of a batch, and the rows of its largest partition.
+
+    Read before the batch is held, of these two columns only.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(PLACE)
+    return readings.select("id", "created_on", place.alias("_place")).agg(
+        F.count(F.lit(1)).alias("readings"),
+        F.max("id").alias("last_id"),
+        F.unix_micros(F.max(F.col("created_on").cast("timestamp"))).alias("clock"),
+        (F.coalesce(F.max("_place") + 1, F.lit(0))).alias("largest"),
+    ).first()
+
+
+def spread(readings: DataFrame, count: int, largest: int) -> DataFrame:
+    """A batch dealt over more tasks, if its source gave one of them too much of it.
+
+    A source may deliver a large batch whole, as one row group of one file.
+    """
+    if largest <= ROWS_PER_TASK:
+        return readings
+    return readings.repartition(min(-(-count // ROWS_PER_TASK), MAX_TASKS), "id")
+
+
 def start_stream(
     readings: DataFrame,
     read_variables: Callable[[], DataFrame],

@@ -328,3 +328,54 @@ def test_a_fold_that_was_cut_short_is_not_read(spark, tmp_path):
     results.fold_log(spark, out, 8)
     assert folders(out, "folded") == [7, 8] and folders(out, "batches") == [8, 9]
     assert [line[0] for line in log_of(spark, out)] == list(range(10))
+
+
+def test_a_batch_of_one_row_group_is_dealt_over_tasks(spark, plant, variables_of, monkeypatch):  # noqa: F811
+    """The file source delivers each batch in one partition; no task holds more than its share."""
+    from gaugework.streaming import service
+
+    held = []
+    run = service._Service._run
+
+    def counted(self, readings, seen, batch_id):
+        sizes = readings.groupBy(F.spark_partition_id()).count().collect()
+        held.append((seen.largest, max(row["count"] for row in sizes), sum(row["count"] for row in sizes)))
+        return run(self, readings, seen, batch_id)
+
+    monkeypatch.setattr(service, "ROWS_PER_TASK", 5)
+    monkeypatch.setattr(service._Service, "_run", counted)
+    plant.add(0)
+    plant.add(1)
+    plant.drain(variables_of(*FORMULAS))
+    assert [(largest, total) for largest, _, total in held] == [(20, 20)] * 2
+    assert all(most < 20 for _, most, _ in held)
+    split = plant.outcomes()
+    monkeypatch.undo()
+    assert split and {tag for _, tag, _ in split} >= set(range(12, 41))
+
+
+@pytest.mark.parametrize("name", ["stream_continuous", "late_readings"])
+def test_a_batch_of_several_files_is_one_batch(spark, monkeypatch, name):
+    import os
+
+    from checks import catalog
+    from checks.compare import database, difference
+    from checks.oracles import ORACLES
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    monkeypatch.setattr(catalog, "ROWS_PER_FILE", 50)
+    paths = []
+    fresh = catalog.fresh_dir
+
+    def noted(spark, kind):
+        paths.append(fresh(spark, kind))
+        return paths[-1]
+
+    monkeypatch.setattr(catalog, "fresh_dir", noted)
+    made = catalog.QUERIES[name](spark, folder).toPandas()
+    source = next(path for path in paths if "stream-" not in path.rsplit("/", 1)[1])
+    files = len(spark.read.parquet(source).inputFiles())
+    assert files % catalog.BATCHES == 0 and files > catalog.BATCHES
+    assert difference(made, database(folder).execute(ORACLES[name]).df()) is None
