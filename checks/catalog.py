@@ -25,7 +25,10 @@ MIDDLE = "2024-01-15 12:00:00"
 
 
 def rounded(table: DataFrame, name: str = "result", digits: int = 8) -> DataFrame:
-    return table.withColumn(name, F.round(name, digits))
+    """Rounded as SQL's doubles are: scaled, rounded and scaled back, each in doubles."""
+    scaled = F.col(name) * float(10**digits)
+    near = F.round(scaled, 0) / float(10**digits)
+    return table.withColumn(name, F.when(F.abs(scaled) < float("inf"), near).otherwise(F.col(name)))
 
 
 # Readings

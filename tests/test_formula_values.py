@@ -272,3 +272,26 @@ def test_random_formulas_against_python(spark, variables_of, seed):
         if not same:
             wrong.append((_text(tree), expected, got))
     assert not wrong
+
+
+def test_exp_has_the_last_place_of_python(spark, readings_of, variables_of):
+    """Spark's own is a unit off in the last place for about one value in twelve."""
+    values = [at / 8 for at in range(-5600, 5677, 4)] + [709.0, 709.75, -744.0, 0.01, 1e-300]
+    rows = [(at, "a", value, "2024-01-01 00:00:00") for at, value in enumerate(values, 1)]
+    made = gw.evaluate(readings_of(rows, "double"), variables_of((1, "exp([a])"))).collect()
+    got = {row.tag_id: row.result for row in made}
+    wanted = {at: math.exp(value) for at, value in enumerate(values, 1)}
+    assert all(math.isclose(got[at], value, rel_tol=4e-16, abs_tol=5e-324) for at, value in wanted.items())
+    assert sum(got[at] != value for at, value in wanted.items()) < len(values) / 50
+
+
+def test_results_are_rounded_as_sql_rounds(spark):
+    import duckdb
+
+    from checks.catalog import rounded
+
+    values = [math.exp(at / 7) for at in range(1, 4960, 9)] + [0.5e-8, -1.5e-8, 2.5, 1e308, -math.exp(40), 0.0]
+    rows = spark.createDataFrame([(at, value) for at, value in enumerate(values)], "at int, result double")
+    got = [row.result for row in rounded(rows).orderBy("at").collect()]
+    wanted = duckdb.execute("SELECT list_transform($1::DOUBLE[], lambda x: round(x, 8))", [values]).fetchone()[0]
+    assert got == wanted
