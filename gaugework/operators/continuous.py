@@ -27,6 +27,11 @@ SHAPES_PER_PASS = 512
 # only wide formulas have, are looked up where they are used.
 NAMED_OPERANDS = 16
 
+# With a formula of a longer shape, evaluating a reading costs far more than moving it. Readings are
+# then dealt evenly over so many tasks a core, as a scan gives one task what fills a file's split.
+LONG_SHAPE = 2_000
+TASKS_PER_CORE = 4
+
 OUTCOME = "struct<result:double,error:string>"
 
 
@@ -138,6 +143,8 @@ def evaluate(
         number.alias("_value"),
         input_error(readings, number).alias("_input_error"),
     )
+    if any(len(shape.text) > LONG_SHAPE for shape in formulas.shapes):
+        keyed = keyed.repartition(TASKS_PER_CORE * keyed.sparkSession.sparkContext.defaultParallelism)
     matched = formulas.attach(keyed, formulas.edges(), "node_id")
     rows = formulas.attach(matched, formula_operands(formulas, latest), "variable_id")
     before = [

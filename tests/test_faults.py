@@ -3,6 +3,7 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import gaugework as gw
 from gaugework.functions.formula_text import read_formula
@@ -49,3 +50,12 @@ def test_every_scenario_has_a_row(spark, variables_of, how):
     errors = {r.variable_id: r.error for r in made}
     empty = "COMPILE_ERROR: Empty formula" if how == "table" else "UNKNOWN_VARIABLE"
     assert errors == {1: None, 2: empty, 3: empty, 99: "UNKNOWN_VARIABLE"}
+
+
+@pytest.mark.parametrize("formula, tasks", [("[a] * 2", 1), ("[a]" + " + [b]" * 400, 2)])
+def test_readings_of_long_formulas_are_dealt_over_tasks(readings_of, variables_of, formula, tasks):
+    rows = [(i, "ab"[i % 2], i, "2024-01-01 00:00:00") for i in range(100)]
+    made = gw.evaluate(readings_of(rows).coalesce(1), variables_of((1, formula)))
+    found = made.select("tag_id", F.spark_partition_id().alias("task")).collect()
+    assert min(len({r.task for r in found}), 2) == tasks
+    assert sorted(r.tag_id for r in found) == [i for i in range(100) if tasks == 2 or i % 2 == 0]
