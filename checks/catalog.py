@@ -261,12 +261,16 @@ ROWS_PER_FILE = 100_000
 def in_batches(rows: DataFrame, part: Column, name: str) -> DataFrame:
     """``rows`` as a stream of ``BATCHES`` micro-batches, by the number ``part`` of each row's batch."""
     spark, path = rows.sparkSession, fresh_dir(rows.sparkSession, name)
-    sizes = [row["count"] for row in rows.groupBy(part.alias("part")).count().collect()] or [0]
+    first = F.col(rows.columns[0])
+    found = rows.groupBy(part.alias("part")).agg(F.count("*").alias("rows"), F.min(first), F.max(first)).collect()
+    sizes, spans = [row.rows for row in found] or [0], {row.part: row[2:] for row in found}
     files = max(1, min(max(sizes) // ROWS_PER_FILE, min(sizes) // 16))
     for at in range(BATCHES):
         # As many files each as the source takes a batch, the oldest first. Rows are dealt
         # evenly, so that no file is missing.
         batch = rows.where(part == at)
+        if at in spans:  # said in the rows' own numbers, which reach the scan
+            batch = batch.where(first.between(*spans[at]))
         batch = batch.coalesce(1) if files == 1 else batch.repartition(files)
         batch.write.mode("append").parquet(path)
         time.sleep(0.02)

@@ -92,6 +92,15 @@ class FormulaSet:
         """``small`` marked for broadcast when it is as small as the formulas."""
         return F.broadcast(small) if self.bounded else small
 
+    def at_hand(self, small: DataFrame) -> DataFrame:
+        """``small`` read on the driver, as the formulas are, when it is as small as they are.
+
+        Plans that use it several times then neither compute it again nor start jobs for it.
+        """
+        if not self.bounded:
+            return small
+        return small.sparkSession.createDataFrame(small.toArrow(), small.schema)
+
     def attach(self, large: DataFrame, small: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
         """Join of many rows with a table derived from the formulas.
 

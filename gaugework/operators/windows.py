@@ -26,6 +26,8 @@ NO_ROWS = "NO_COMPUTABLE_ROWS_IN_WINDOW"
 WINDOWS_PER_ROW = 10_000
 WINDOWS_PER_TASK = 1_000_000
 
+EVALUATED = "variable_id bigint, window_start timestamp, window_end timestamp, result double, error string"
+
 
 def _micros(column: Column | str) -> Column:
     return F.unix_micros(F.col(column) if isinstance(column, str) else column)
@@ -430,6 +432,8 @@ def evaluate_windows(
     readings are scanned for aggregates over several nodes only.
     """
     formulas = as_formula_set(formulas).of("one", "many", "last")
+    if not formulas.kinds:
+        return schedule.sparkSession.createDataFrame([], EVALUATED)
     low, high, count = _extent(_spans(schedule))
     numbers = _numbers(readings, formulas, low, high)
     parts = []

@@ -91,8 +91,10 @@ def merged(
     ``history`` is called only if a formula has no state yet.
     """
     keys = ["variable_id", "mark", "open_from"]
-    live = now.join(marks_before, keys, "left_semi")
-    fresh = now.join(marks_before, keys, "left_anti")
+    known = now.join(marks_before.select(*keys, F.lit(True).alias("_known")).distinct(), keys, "left")
+    known = formulas.at_hand(known.withColumn("_known", F.col("_known").isNotNull()))
+    live = known.filter("_known").drop("_known")
+    fresh = known.filter("not _known").drop("_known")
     parts = _made(batch, formulas, live, _newest(batch))
     if not fresh.isEmpty():
         low = fresh.agg(F.min(F.col("open_from") - _length())).first()[0]

@@ -37,6 +37,7 @@ from gaugework.operators.windows import (
     tick_schedule,
 )
 from gaugework.plans.reports import all_executions
+from gaugework.session import side_by_side
 from gaugework.sources.readings import start_offset
 from gaugework.sources.results import (
     FOLD,
@@ -108,10 +109,13 @@ class _Service:
         formulas = self.formulas()
 
         runs = LatestRuns(self.spark, f"{self.out_path}/latest")
-        runs.add(batch_id, latest_state(readings))
         high = max(value for value in (seen.last_id, before[0], 0) if value is not None)
+        _, windowed = side_by_side(
+            self.spark,
+            lambda: runs.add(batch_id, latest_state(readings)),
+            lambda: self._windows(formulas, batch_id, as_of, readings, high),
+        )
         made = evaluate(readings, formulas, runs.after(batch_id).filter("value is not null"))
-        windowed = self._windows(formulas, batch_id, as_of, readings, high)
         outcomes = all_executions(made, windowed, now)
         attempt = write_outcomes(outcomes, self.out_path, batch_id)
 
@@ -156,7 +160,7 @@ class _Service:
         table = formulas.table.join(kept, "variable_id", "left").withColumn(
             "time_interval", F.coalesce("_deadline", "time_interval")
         )
-        formulas = replace(formulas, table=table.drop("_deadline"))
+        formulas = replace(formulas, table=formulas.at_hand(table.drop("_deadline")))
         moment = F.timestamp_micros(F.lit(as_of).cast("long"))
         due = due_windows(formulas, moment)
         following = due.select("variable_id", F.col("next_deadline").alias("time_interval"))
@@ -174,7 +178,9 @@ class _Service:
             following = deadlines
             schedule = schedule.filter("false")
         self.require_history(formulas)
-        following = self.keep("deadlines", batch_id, following, schemas.DEADLINES)
+        following = formulas.at_hand(following)
+        kept = self.keep("deadlines", batch_id, following, schemas.DEADLINES)
+        following = following if formulas.bounded else kept
         held = None
         if self.open_windows == "state":
             held = self._held(formulas, batch_id, as_of, due, following, readings, high)
@@ -210,16 +216,17 @@ class _Service:
                 "variable_id",
                 F.unix_micros(F.when(anew, F.col("next_deadline")).otherwise(F.col("time_interval"))).alias("open_from"),
             )
-            now = open_windows.marks(formulas, opened)
+            now = formulas.at_hand(open_windows.marks(formulas, opened))
             after = open_windows.merged(before, marks_before, now, formulas, readings, self.read_history, high)
             upcoming = following.select("variable_id", F.unix_micros("time_interval").alias("open_from"))
             marks_after = open_windows.marks(formulas, upcoming).drop("minutes")
-        held = Held(
-            self.keep("open_totals", batch_id, after.totals, open_windows.TOTALS),
-            self.keep("open_lasts", batch_id, after.lasts, open_windows.LASTS),
+        totals, lasts, _ = side_by_side(
+            self.spark,
+            lambda: self.keep("open_totals", batch_id, after.totals, open_windows.TOTALS),
+            lambda: self.keep("open_lasts", batch_id, after.lasts, open_windows.LASTS),
+            lambda: self.keep("open_marks", batch_id, marks_after, open_windows.MARKS),
         )
-        self.keep("open_marks", batch_id, marks_after, open_windows.MARKS)
-        return held
+        return Held(totals, lasts)
 
     def require_history(self, formulas: FormulaSet) -> None:
         """Without readings to fill them, windows would be lost as deadlines move on."""

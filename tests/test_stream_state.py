@@ -379,3 +379,66 @@ def test_a_batch_of_several_files_is_one_batch(spark, monkeypatch, name):
     files = len(spark.read.parquet(source).inputFiles())
     assert files % catalog.BATCHES == 0 and files > catalog.BATCHES
     assert difference(made, database(folder).execute(ORACLES[name]).df()) is None
+
+
+def test_what_a_batch_asks_of_its_formulas_is_at_hand(spark, plant, variables_of, monkeypatch):  # noqa: F811
+    """Deadlines and schedules are as small as the formulas: read once, not by each of a batch's plans."""
+    plans = []
+    evaluate = service.evaluate_windows
+
+    def watched(readings, formulas, schedule, **named):
+        plans.extend(table._jdf.queryExecution().optimizedPlan().toString() for table in (schedule, formulas.table))
+        return evaluate(readings, formulas, schedule, **named)
+
+    monkeypatch.setattr(service, "evaluate_windows", watched)
+    for number in range(2):
+        plant.add(number)
+    plant.drain(variables_of(*EVERY_KIND), read_history=plant.history, windows="replay", open_windows="state")
+    assert len(plans) == 4 and all(plan.startswith("LocalRelation") for plan in plans)
+    assert windows_of(spark, plant.out)
+
+
+def test_steps_side_by_side_end_together(spark):
+    from gaugework.session import side_by_side
+
+    ended = []
+
+    def fails():
+        raise ValueError("first")
+
+    def named():
+        ended.append(spark.sparkContext.getLocalProperty("spark.job.description"))
+        return spark.range(3).count()
+
+    spark.sparkContext.setJobDescription("caller")
+    try:
+        assert side_by_side(spark, named, lambda: 1) == [3, 1]
+        with pytest.raises(ValueError, match="first"):
+            side_by_side(spark, fails, named)
+    finally:
+        spark.sparkContext.setJobDescription(None)
+    assert ended == ["caller", "caller"]
+
+
+def test_formulas_without_windows_start_no_job_for_them(spark, plant, variables_of):  # noqa: F811
+    plant.add(0)
+    schedule = gw.replay_schedule(variables_of(*FORMULAS), "2024-01-02 00:00:00")
+    made = gw.evaluate_windows(plant.history(), variables_of(*FORMULAS), schedule)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    other = gw.evaluate_windows(plant.history(), variables_of(*EVERY_KIND), schedule)
+    assert made.schema.simpleString() == other.schema.simpleString()
+    assert made.count() == 0
+
+
+def test_a_batch_is_read_by_the_range_of_its_rows(spark, monkeypatch, tmp_path):
+    from checks import catalog
+
+    spark.range(1000).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events")
+    rows = spark.read.parquet(f"{tmp_path}/events")
+    monkeypatch.setattr(catalog, "fresh_dir", lambda spark, name: f"{tmp_path}/{name}")
+    wheres, where = [], type(rows).where
+    monkeypatch.setattr(type(rows), "where", lambda self, test: wheres.append(where(self, test)) or wheres[-1])
+    catalog.in_batches(rows, F.expr(f"event_id * {catalog.BATCHES} div 1000"), "stream")
+    plans = [table._jdf.queryExecution().optimizedPlan().toString() for table in wheres]
+    assert sum("event_id#" in plan and "<= 499" in plan and ">= 250" in plan for plan in plans) == 1
+    assert sorted(row[0] for row in spark.read.parquet(f"{tmp_path}/stream").collect()) == list(range(1000))
