@@ -13,11 +13,12 @@ import functools
 import json
 import re
 import struct
+from codecs import charmap_decode
 
 import numpy as np
 import public_tokenizers
 
-#: Words a worker keeps, in each of two generations.
+#: Words a worker keeps, in each of two generations, if not told otherwise. A word takes about 160 bytes.
 CACHED_WORDS = 120_000
 
 #: Letters for which Python's classes and the tokenizers' agree, and which
@@ -40,19 +41,26 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+#: By their number, how to pack the ids of a word; longer words are rare.
+PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 class Words(dict):
     """Packed ids by word; two generations bound its size."""
 
-    def __init__(self, model):
+    def __init__(self, model, most: int = CACHED_WORDS):
         super().__init__()
-        self.model, self.old, self.alphabet = model, {}, byte_alphabet()
+        self.most = most
+        # By byte, as a string: so decoding a word shows it in one step.
+        self.tokenize, self.old, self.alphabet = model.tokenize, {}, "".join(map(byte_alphabet().get, range(256)))
 
     def __missing__(self, word: str) -> bytes:
         packed = self.old.get(word)
         if packed is None:
-            shown = word.encode().decode("latin-1").translate(self.alphabet)
-            packed = struct.pack(f"<{len(found := self.model.tokenize(shown))}I", *[t.id for t in found])
-        if len(self) >= CACHED_WORDS:
+            shown, _ = charmap_decode(word.encode(), "strict", self.alphabet)
+            ids = [t.id for t in self.tokenize(shown)]
+            packed = PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[word] = packed
@@ -60,7 +68,7 @@ class Words(dict):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -72,7 +80,7 @@ class Encoder:
         pattern = BYTE_WORDS if not self.lower and "'use_regex': True" in cut else None
         pattern = LOWER_WORDS if self.lower and "Split" in cut else pattern
         self.find = re.compile(pattern).findall if pattern else None
-        self.words = Words(self.tokenizer.model)
+        self.words = Words(self.tokenizer.model, words)
 
     @property
     def vocabulary(self) -> int:
@@ -98,6 +106,6 @@ def vocabulary_file(name: str) -> str:
 
 
 @functools.cache
-def encoder(name: str) -> Encoder:
-    """This worker's encoder; it outlives a task."""
-    return Encoder(vocabulary_file(name))
+def encoder(name: str, words: int = CACHED_WORDS) -> Encoder:
+    """This worker's encoder, which keeps twice so many ``words``; it outlives a task."""
+    return Encoder(vocabulary_file(name), words)

@@ -36,6 +36,10 @@ from gaugework.llm.tables import running_base, text_of
 MANIFEST = "part int, file string, docs long, tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
+#: Words a worker keeps in each of two generations, about 130 MB in all. Asking the model anew
+#: for words that were forgotten is half of the work with a quarter of that.
+WORDS = 400_000
+
 
 def _system(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (
@@ -48,7 +52,7 @@ def _write_part(folder: str, vocabulary: str, end: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, WORDS)
         kind = "<u2" if encode.vocabulary <= 65536 else "<u4"
         system, root = _system(folder)
         # An attempt has files of its own; only those of the attempt that Spark

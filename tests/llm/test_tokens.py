@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gaugework.llm import harmonic, token_files
-from gaugework.llm.bpe import encoder
+from gaugework.llm.bpe import PACK, Words, encoder
 from gaugework.session import fresh_dir
 
 from tests.llm.conftest import AWKWARD
@@ -24,6 +24,29 @@ def test_ids_are_the_librarys(name, text):
     assert encode.encode(text) == encode.whole(text)
 
 
+def test_long_words_have_the_librarys_ids():
+    encode = encoder("byte_bpe_50k.json")
+    texts = ["xq" * n + "é" * n for n in (1, len(PACK) // 2, len(PACK), 5 * len(PACK))]
+    assert [encode.encode(text) for text in texts] == [encode.whole(text) for text in texts]
+
+
+def test_token_files_ask_the_model_once_for_a_word():
+    class Model:
+        asked = 0
+
+        def tokenize(self, shown):
+            self.asked += 1
+            return []
+
+    model = Model()
+    words = Words(model, token_files.WORDS)
+    for _ in range(2):
+        for n in range(token_files.WORDS):
+            words[f"w{n}"]
+    assert model.asked == token_files.WORDS
+    assert len(words) <= token_files.WORDS and len(words.old) <= token_files.WORDS
+
+
 def expected(name, text, end):
     return [*encoder(name).tokenizer.encode(text or "", add_special_tokens=False).ids, end]
 
