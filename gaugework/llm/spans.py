@@ -11,6 +11,8 @@ the lower-cased words, so spacing and capitals do not matter. Spans are joined o
 table by their hashes. The first span of a hash, by doc_id and place, stays; every
 sentence that another one covers is removed, so the first document that has a passage keeps it.
 
+A text without a repeated span is not cut again: its number of sentences is kept from the first time.
+
 Hashes alone are counted, with partial counts, before any join; what has a repeated one is
 written once, and a frequent one has one row on its side of the joins, so their other side can
 be split over tasks.
@@ -145,11 +147,14 @@ def spans(parts: list[str]) -> Iterator[tuple[int, int, int]]:
 
 
 def _spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of each text, and a row without a hash that has its number of sentences."""
     enders = Enders()
     for batch in batches:
-        rows, hashes, at = [], [], []
+        rows, hashes, at, sizes = [], [], [], []
         for row, text in enumerate(batch.column("text")):
-            for h, i, _ in spans(sentences(text.as_py(), enders)):
+            parts = sentences(text.as_py(), enders)
+            sizes.append(len(parts))
+            for h, i, _ in spans(parts):
                 rows.append(row)
                 hashes.append(h)
                 at.append(i)
@@ -157,6 +162,9 @@ def _spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [batch.column(c).take(taken) for c in ("doc_id", "tie")]
         columns += [pa.array(np.array(hashes, "u8").view("i8")), pa.array(at, pa.int32())]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "hash", "at"])
+        columns = [batch.column(c) for c in ("doc_id", "tie")]
+        columns += [pa.nulls(len(sizes), pa.int64()), pa.array(sizes, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "hash", "at"])
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -164,15 +172,32 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.withColumn("tie", F.xxhash64("text"))
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, tie, at: where the non-first repeated spans of each text that has some begin."""
-    found = stored(_rows(docs).mapInArrow(_spans, "doc_id long, tie long, hash long, at int"), "spans")
+def _written(docs: DataFrame) -> DataFrame:
+    return stored(_rows(docs).mapInArrow(_spans, "doc_id long, tie long, hash long, at int"), "spans")
+
+
+def _others(written: DataFrame) -> DataFrame:
+    """doc_id, tie, at: where the non-first repeated spans begin."""
+    found = written.where("hash is not null")
     many = found.groupBy("hash").count().where("count > 1")
     shared = stored(found.join(many.select("hash"), "hash"), "shared")
     place = F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id", "tie", "at")
     first = shared.groupBy("hash").agg(F.min(place).alias("first"))
-    others = shared.join(first, "hash").where(place > F.col("first"))
-    return others.groupBy("doc_id", "tie").agg(F.collect_set("at").alias("at"))
+    return shared.join(first, "hash").where(place > F.col("first")).select("doc_id", "tie", "at")
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """doc_id, tie, at: where the non-first repeated spans of each text that has some begin."""
+    return _others(_written(docs)).groupBy("doc_id", "tie").agg(F.collect_set("at").alias("at"))
+
+
+def _cut(docs: DataFrame) -> DataFrame:
+    """As :func:`repeated` for every text, and its number of sentences."""
+    written = _written(docs)
+    sizes = written.where("hash is null").selectExpr("doc_id", "tie", "int(null) AS at", "at AS n_sentences")
+    others = _others(written).selectExpr("*", "int(null) AS n_sentences")
+    both = others.unionByName(sizes).groupBy("doc_id", "tie")
+    return both.agg(F.collect_set("at").alias("at"), F.max("n_sentences").alias("n_sentences"))
 
 
 CLEANED = "doc_id long, text string, n_sentences int, n_removed int, removed array<struct<start: int, end: int>>"
@@ -183,16 +208,21 @@ def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     enders = Enders()
     for batch in batches:
         texts, sizes, removed, places = [], [], [], []
-        for text, found in zip(batch.column("text"), batch.column("at"), strict=True):
+        for text, found, size in zip(*map(batch.column, ("text", "at", "n_sentences")), strict=True):
+            if not len(found.values):
+                texts.append(text.as_py())
+                sizes.append(size.as_py())
+                removed.append(0)
+                places.append([])
+                continue
             parts = sentences(text.as_py(), enders)
             gone = np.zeros(len(parts) + 1, int)
-            if found.is_valid:
-                at = found.values.to_numpy()
-                ends = np.array(ends_of_spans(parts, [part.split() for part in parts]))[at]
-                np.add.at(gone, at, 1)
-                np.add.at(gone, ends, -1)
+            at = found.values.to_numpy()
+            ends = np.array(ends_of_spans(parts, [part.split() for part in parts]))[at]
+            np.add.at(gone, at, 1)
+            np.add.at(gone, ends, -1)
             gone = np.cumsum(gone)[:-1] > 0
-            ends = np.cumsum([len(p) for p in parts]) if parts else np.empty(0, int)
+            ends = np.cumsum([len(p) for p in parts])
             place: list[dict] = []
             for i in np.flatnonzero(gone).tolist():
                 start, end = int(ends[i]) - len(parts[i]), int(ends[i])
@@ -218,7 +248,7 @@ def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text without repeated spans, numbers of sentences and of removed ones, removed code points."""
-    rows, found = _rows(docs), stored(repeated(docs), "repeated")
+    rows, found = _rows(docs), stored(_cut(docs), "repeated")
     same = rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["tie"] == found["tie"])
-    joined = rows.join(found, same, "left").select(rows["doc_id"], "text", "at")
+    joined = rows.join(found, same).select(rows["doc_id"], "text", "at", "n_sentences")
     return joined.mapInArrow(_remove, CLEANED)

@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -285,6 +286,28 @@ def test_repeated_passages_go(documents):
         assert cut == found[i]["text"]
 
 
+def test_texts_without_repeats_are_cut_once(documents, awkward, monkeypatch):
+    rows = spans._cut(awkward).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_sentences"]) for r in rows) == sorted(
+        {(i is None, i or 0, len(spans.sentences(t or ""))) for i, t, *_ in AWKWARD}
+    )
+    whole = {(r["doc_id"], r["text"]): r["n_sentences"] for r in spans.without_repeats(awkward).collect()}
+    assert all(whole.get((i, t or ""), n) == n for i, t, *_ in AWKWARD for n in [len(spans.sentences(t or ""))])
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "doc_id": pa.array([7], pa.int64()),
+            "text": ["One. Two. Three."],
+            "at": pa.array([[]], pa.list_(pa.int32())),
+            "n_sentences": pa.array([3], pa.int32()),
+        }
+    )
+    monkeypatch.setattr(spans, "sentences", None)
+    (made,) = spans._remove([batch])
+    assert made.to_pylist() == [
+        {"doc_id": 7, "text": "One. Two. Three.", "n_sentences": 3, "n_removed": 0, "removed": []}
+    ]
+
+
 def test_spans_of_awkward_rows(documents, awkward):
     rows = spans.without_repeats(awkward).collect()
     assert len(rows) == len(AWKWARD)
