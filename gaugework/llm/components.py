@@ -5,7 +5,8 @@ order (or to itself), and edges are rewritten to what their ends point to. A rou
 removes a constant share of the nodes in expectation, whatever the graph's shape, and
 only minima are gathered per node, which partial aggregation bounds for hubs. Each
 round's tables are written to the shared folder, so lineage stays short and a lost
-executor costs one round at most.
+executor costs one round at most. Rounds with many nodes are joined by shuffles, whatever size
+Spark takes their files for.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugework.llm.tables import unsent_if_large
 from gaugework.session import stored
 
 
@@ -29,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         turn = len(steps)
         nearest = both.groupBy(F.col("a").alias("node")).agg(F.min(_rank("b", turn)).alias("near"))
         best = F.least("near", _rank("node", turn))["node"].alias("to")
-        to = stored(nearest.select("node", best), "pointers")
+        to = unsent_if_large(stored(nearest.select("node", best), "pointers"))
         steps.append(to)
         moved = (
             edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a")

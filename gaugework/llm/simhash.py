@@ -10,7 +10,8 @@ Equal fingerprints are one node. Buckets of more than ``bucket`` fingerprints ar
 masked again over the bits that their mask left out, with the same guarantee, as
 often as needed: under a mask of all but b bits a bucket has at most 2^b fingerprints. Within a
 bucket, a task compares fingerprints and returns a spanning forest of the links,
-not all pairs. Nothing is capped.
+not all pairs. Nothing is capped. Tables of a row for each mask or fingerprint are joined
+by shuffles and never broadcast, as they grow with the documents.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.llm.components import components
-from gaugework.llm.tables import text_of
+from gaugework.llm.tables import text_of, unsent, unsent_if_large
 from gaugework.session import stored
 
 BITS = 64
@@ -139,7 +140,7 @@ def links(fps: DataFrame, radius: int = 4, bucket: int = 1024) -> DataFrame:
     found = []
     while True:
         sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-        shared = stored(rows.join(sizes, ["mask", "key"]), "buckets")
+        shared = stored(rows.join(unsent(sizes), ["mask", "key"]), "buckets")
         lists = shared.where(F.col("n") <= bucket).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
         found.append(lists.select("fps").mapInArrow(_forest(radius), "a long, b long"))
         large = shared.where(F.col("n") > bucket).select("fp", "mask")
@@ -157,10 +158,11 @@ def classes_of(rows: DataFrame, least, radius: int, bucket: int) -> DataFrame:
     classes = stored(rows.groupBy("fp").agg(F.min(least).alias("least")), "classes")
     found = components(links(classes.select("fp"), radius, bucket))
     # Fingerprints that are linked to no other are their own root.
-    rooted = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    rooted = classes.join(unsent_if_large(found.select(F.col("node").alias("fp"), "root")), "fp", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    return stored(rooted.select("fp", "root").join(named, "root").select("fp", "least"), "named")
+    named = rooted.select("fp", "root").join(unsent(named), "root")
+    return unsent_if_large(stored(named.select("fp", "least"), "named"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, bucket: int = 1024) -> DataFrame:

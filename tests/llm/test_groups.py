@@ -6,9 +6,12 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from gaugework.llm import fingerprints, shards, simhash, spans
+from gaugework.llm import components as graphs
+from gaugework.llm import fingerprints, shards, simhash, spans, tables
 from gaugework.llm.components import components
+from gaugework.session import stored
 
 from tests.llm.conftest import AWKWARD
 
@@ -315,3 +318,41 @@ def test_spans_of_awkward_rows(documents, awkward):
     assert by_id[0].startswith("The cat") and "cat" not in by_id[4]
     assert by_id[2] == ""
     assert spans.without_repeats(documents([])).collect() == []
+
+
+def planned_joins(monkeypatch, plans):
+    """From now on ``plans`` gets the joins that Spark plans for each table that simhash and components store."""
+
+    def kept(df, name, *by):
+        plans.append((name, joins_of(df)))
+        return stored(df, name, *by)
+
+    for module in (simhash, graphs):
+        monkeypatch.setattr(module, "stored", kept)
+
+
+def joins_of(df):
+    return re.findall(r"\w+Join\b", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_rows_of_masks_are_not_broadcast(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "fps")  # a file of 8 bytes a row, of which an explode makes 31 rows each
+    spark.range(300).select(F.col("id").alias("fp")).write.parquet(path)
+    planned_joins(monkeypatch, plans := [])
+    simhash.links(spark.read.parquet(path), bucket=60)  # large buckets are masked again
+    assert len(plans) > 1 and all(found == ("buckets", ["SortMergeJoin"]) for found in plans)
+
+
+@pytest.mark.parametrize("most, join", [(0, "SortMergeJoin"), (1000, "BroadcastHashJoin")])
+def test_only_few_rows_may_be_broadcast(spark, documents, monkeypatch, most, join):
+    texts = [f"{'the same words stand here again and again ' * 5}{'x' * (i % 7)}" for i in range(30)]
+    rows = [(i, text, "en", "a") for i, text in enumerate([*texts, "some other text"])]
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", most)
+    planned_joins(monkeypatch, plans := [])
+    ends = [simhash.near_duplicates(documents(rows)), simhash.one_of_each(documents(rows))]
+    for made in ends:
+        plans.append(("end", joins_of(made)))
+    by_name = {name: {join for n, found in plans if n == name for join in found} for name, _ in plans}
+    assert by_name["buckets"] == {"SortMergeJoin"} and by_name["end"] == {join}
+    assert by_name["edges"] == {join}
+    assert ends[1].count() == len({r["component_id"] for r in ends[0].collect()})
