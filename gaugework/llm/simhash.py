@@ -180,7 +180,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, bucket:
 def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4, bucket: int = 1024) -> DataFrame:
     """The row with the smallest doc_id of each component; of rows with the same one, the first.
 
-    Only fingerprints are grouped; of the texts, one join drops those that go.
+    Only fingerprints are grouped; of the texts, one join drops those that go. It shuffles them
+    where too many rows stay to be broadcast.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc"))

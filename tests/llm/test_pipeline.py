@@ -10,7 +10,7 @@ import corpus_pipeline
 from gaugework.llm import harmonic, mixing, secrets, toxicity
 from gaugework.llm.bpe import encoder
 from gaugework.llm.tables import read
-from tests.llm.test_groups import plain_simhash, reach
+from tests.llm.test_groups import planned_joins, plain_simhash, reach
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -49,6 +49,13 @@ def test_one_near_copy_stays(stages):
     assert {r["doc_id"] for r in stages[2].collect()} == {rows[i][0] for i in set(roots)}
 
 
+def test_the_near_copy_stage_broadcasts_no_masks(spark, documents, monkeypatch):
+    docs = documents([(i, f"word{i} " * 20, "en", "a") for i in range(8)])
+    planned_joins(monkeypatch, plans := [])
+    assert corpus_pipeline.drop_near_copies(spark, docs, FOLDER).count() == 8
+    assert [found for name, found in plans if name == "buckets"] == [["SortMergeJoin"]]
+
+
 def test_secrets_are_replaced(stages):
     before = {r["doc_id"]: r["text"] for r in stages[2].collect()}
     after = {r["doc_id"]: r["text"] for r in stages[3].collect()}
